@@ -5,8 +5,8 @@ the whole text) is hashed and joined to the positions of the same pair in the
 templates.  A hit votes for the diagonal (document position minus template
 position) of its template.  Votes are aggregated by diagonal as a bit set of
 template positions; neighbouring diagonals (at most ``gap`` apart: words were
-inserted or dropped) are merged; a span is verified by the pair's own words, not
-its hash alone, and by the share of template positions it covers.
+inserted or dropped) are merged; a span is verified by the share of template positions that it covers,
+each by a 64-bit hash of its own words.
 
 Base phrases are templates that must be covered fully on one diagonal.  Notices
 are labelled from ``min_cover`` on.
@@ -50,8 +50,8 @@ NOTICES = (
 
 #: Separators of words, after lower-casing, as a Java pattern.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: The pair that stands before each document's first word; no text has it.
-START = "\x01"
+#: The hash of a virtual pair before each document's first word, so that every document has a hit.
+START = -1
 
 
 def template_pairs(base=BASE_PHRASES, notices=NOTICES) -> list[tuple[int, bool, str, int, str]]:
@@ -68,8 +68,8 @@ def _values(spark: SparkSession, pairs) -> DataFrame:
     full: dict[int, int] = {}
     for t, _, _, i, _ in pairs:
         full[t] = full.get(t, 0) | 1 << i
-    rows = ",".join(f"({t}, {str(b).lower()}, '{label}', {i}, '{pair}', {full[t]}L)" for t, b, label, i, pair in pairs)
-    return spark.sql(f"select * from values {rows}, (-1, false, '', 0, '{START}', 1L) as v(tid, is_base, label, tpos, tpair, tfull)")
+    rows = ",".join(f"({t}, {str(b).lower()}, '{label}', {i}, {full[t]}L, xxhash64('{pair.split()[0]}', '{pair.split()[1]}'))" for t, b, label, i, pair in pairs)
+    return spark.sql(f"select * from values {rows}, (-1, false, '', 0, 1L, {START}L) as v(tid, is_base, label, tpos, tfull, th)")
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base=BASE_PHRASES, notices=NOTICES, gap: int = 2, min_cover: float = 0.6) -> DataFrame:
@@ -78,14 +78,13 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ``spans`` lists ``(label, first word, last word, cover)`` of every match.
     """
     spark = docs.sparkSession
-    table = F.broadcast(_values(spark, template_pairs(base, notices)).withColumn("th", F.xxhash64("tpair")))
+    table = F.broadcast(_values(spark, template_pairs(base, notices)))
     # lower() also maps letters outside ASCII; none of them turns into a separator or into a template's letter
     words = F.filter(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), SEPARATORS), lambda w: w != "")
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), words.alias("words"))
     # the count is made below the explode: above it, every exploded row would carry the words
-    rows = rows.select("row", "id", F.size("words").cast("long").alias("n_words"), F.expr(f"concat(array('{START}'), transform(words, (w, i) -> concat(w, ' ', get(words, i + 1))))").alias("pairs"))
-    pairs = rows.select("row", "id", "n_words", F.posexplode("pairs").alias("at", "pair"))
-    hits = pairs.where(F.col("pair").isNotNull()).join(table, (F.xxhash64("pair") == F.col("th")) & (F.col("pair") == F.col("tpair")))
+    rows = rows.select("row", "id", F.size("words").cast("long").alias("n_words"), F.expr(f"concat(array({START}L), zip_with(words, slice(words, 2, size(words)), (a, b) -> xxhash64(a, b)))").alias("hashes"))
+    hits = rows.select("row", "id", "n_words", F.posexplode("hashes").alias("at", "h")).join(table, F.col("h") == F.col("th"))
     doc = ["row", "id", "n_words"]
     diagonals = hits.groupBy(*doc, "tid", "is_base", "label", "tfull", (F.col("at") - 1 - F.col("tpos")).cast("long").alias("diag")).agg(F.bit_or(F.expr("shiftleft(1L, tpos)")).alias("mask"))
 
