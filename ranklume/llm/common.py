@@ -42,6 +42,13 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Like :func:`settled`, for larger results: as Parquet, which is smaller than a checkpoint."""
+    path = new_shared_path(df.sparkSession, "stored")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def hash60(col) -> F.Column:
     """60 uniform bits of a string (null: empty), the same in any SQL engine."""
     text = F.coalesce(col.cast("string"), F.lit(""))

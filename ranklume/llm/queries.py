@@ -5,13 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, license_scan, mixing, sharding
+from . import chat_format, decontaminate, embedding_dedup, license_scan, mixing, quality, sharding, simhash, suffix_dedup, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", quality.is_held_out("doc_id").alias("held_out"), "score", (F.col("score") >= QUALITY_BOUND).cast("int").alias("predicted"))
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = warc.archive(table(spark, sf_dir, "pages"), min_bytes=0)
+    page = lambda c: F.regexp_replace(c, "^urn:page:", "").cast("long")
+    return warc.read(spark, path).select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"), 24)
 
@@ -22,15 +34,35 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.withColumns({c: chat_format.mask_text(F.col(c)) for c in ("chosen_mask", "rejected_mask")})
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), radius=4)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), 1.5)
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), 0.93)
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(table(spark, sf_dir, "documents")).drop("spans")
 
 
-QUERIES = {f.__name__: f for f in (op3_sharding, op4_chat_formatting, op6_mixing, op8_license_scan)}
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), 400)
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document and item that align: only contaminated documents appear."""
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+#: Documents below this score are rejected.
+QUALITY_BOUND = 0.3
+QUERIES = {f.__name__: f for f in (op1_quality, op2_warc, op3_sharding, op4_chat_formatting, op5_simhash, op6_mixing, op7_embedding_dedup, op8_license_scan, op9_suffix_dedup, op10_decontaminate)}
 
 OP4_SQL = r"""
 with t as (

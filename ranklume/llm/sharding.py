@@ -4,8 +4,8 @@ All rows are put in one total order -- hash of the text, hash of the id, id --
 and that order is cut into shards of near-equal bytes.  The order is realised
 without a global sort:
 
-1. a size-weighted key sample (exponential keys, bounded in size) gives
-   quantile boundaries of the text hash; a value that fills several quantiles
+1. a size-weighted key sample (every row's exponential key against one bound,
+   chosen for an expected size) gives quantile boundaries of the text hash; a value that fills several quantiles
    is a hot group and gets a range of its own;
 2. every row goes to its range; a range that is overfull because of one hot
    group is subdivided by the id hash;
@@ -57,8 +57,8 @@ def assign_shards(
     """``id, size, text_crc32, law, shard, slot, grown_shard`` of every row, by bytes.
 
     ``ranges`` is the least number of ranges; more are used so that each holds
-    about ``rows_per_range`` rows.  The sample holds at most
-    ``samples_per_range`` keys a range.
+    about ``rows_per_range`` rows.  The sample holds about ``samples_per_range``
+    keys a range, whatever the input's size.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = settled(docs.select(F.col(id_col).alias("id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("crc"), hash60(text).alias("k1"), hash60(F.col(id_col)).alias("k2")))
@@ -67,8 +67,9 @@ def assign_shards(
     ranges = min(max(ranges, -(-n // rows_per_range)), 65_536)
     target = max(1.0, n / ranges)
     weight = F.col("size") + total / max(1, n)
-    expo = -F.log((F.col("k2") + 0.5) / TWO60) / weight
-    sample = [r[0] for r in base.select("k1", expo.alias("e"), "k2").orderBy("e", "k1", "k2").limit(ranges * samples_per_range).select("k1").collect()]
+    # exponential keys: below a small bound c, a share of about c * weight of the rows; the weights add up to 2 * total
+    expo = -F.log((F.hash("k2", "k1").cast("double") + 2147483648.5) / 4294967296.0) / weight
+    sample = [r[0] for r in base.where(expo <= ranges * samples_per_range / (2.0 * total)).select("k1").collect()]
 
     ranged = base.withColumn("rng", range_of("k1", splitters(sample, ranges)))
     fill = ranged.groupBy("rng").agg(F.count("*").alias("n"), F.sum("size").alias("r_bytes"), (F.min("k1") == F.max("k1")).alias("alone"))
