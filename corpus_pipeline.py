@@ -1,2 +1,67 @@
-STAGES = []
-def run(spark, sf_dir): raise NotImplementedError
+"""A corpus pipeline: quality, near-duplicates, decontamination, mixing, shards.
+
+Each stage is a function of (spark, docs, sf_dir) whose result is written as
+Parquet and read again as the next stage's ``docs``.  All stages but the last
+return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ranklume.llm import decontaminate, mixing, quality, sharding, simhash
+from ranklume.llm.common import new_shared_path
+from ranklume.llm.queries import QUALITY_BOUND, table
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier doesn't reject."""
+    trees = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, trees, score_col="_quality").where(F.col("_quality") >= QUALITY_BOUND).drop("_quality")
+
+
+def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each SimHash component, the document with the smallest id; one of repeated rows."""
+    found = simhash.near_duplicates(docs, radius=4)
+    first = found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.min("fp").alias("_fp"))
+    kept = docs.join(first, "doc_id").select(docs.columns)
+    return kept.dropDuplicates(["doc_id"])
+
+
+def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that align with no benchmark item."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them: not at all, once or twice."""
+    taken = mixing.mix(docs, 1.5).where(F.col("taken") > 0).select("doc_id", F.floor(F.col("taken") / F.col("size")).cast("int").alias("_times"))
+    return docs.join(taken, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(docs.columns)
+
+
+def cut_into_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The shard and slot of every document."""
+    return sharding.assign_shards(docs, 24)
+
+
+STAGES = [
+    ("quality classifier", keep_quality),
+    ("SimHash near-dedup", keep_one_of_near_duplicates),
+    ("benchmark decontamination", keep_uncontaminated),
+    ("mixing", mix_sources),
+    ("sharding", cut_into_shards),
+]
+
+#: The classifier is trained, so SQL can't give the rows; the tests compare with brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Applies the stages to ``documents``; every stage's result is kept in the shared folder."""
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES:
+        path = new_shared_path(spark, "stage")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs
