@@ -1,0 +1,85 @@
+"""Chat formatting, the pipeline, and queries against their SQL."""
+
+from __future__ import annotations
+
+import math
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from ranklume.llm import chat_format
+from ranklume.llm.queries import ORACLE_SQL, QUERIES, table
+
+TABLES = ("documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+
+
+def plain(rows, columns):
+    value = lambda v: None if v is None or (isinstance(v, float) and math.isnan(v)) else round(v, 9) if isinstance(v, float) else v
+    return sorted((tuple(value(r[c]) for c in columns) for r in rows), key=repr)
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_query_matches_its_sql(spark, sf_dir, name):
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"create view {t} as from '{sf_dir}/{t}.parquet'")
+    df = QUERIES[name](spark, sf_dir)
+    columns = sorted(df.columns)
+    cursor = con.execute(ORACLE_SQL[name])
+    names = [d[0] for d in cursor.description]
+    assert sorted(names) == columns
+    assert plain([r.asDict() for r in df.collect()], columns) == plain([dict(zip(names, r)) for r in cursor.fetchall()], columns)
+
+
+def pairs(spark, rows):
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, pair_id string")
+    out = chat_format.format_preferences(df, F.floor(F.col("conv_id") / 2), F.col("conv_id") % 2 == 0)
+    return {r["pair_id"]: r for r in out.collect()}
+
+
+def test_common_prefix_is_the_prompt(spark):
+    got = pairs(spark, [(0, 0, "user", "hi", "x"), (0, 1, "assistant", "yes", "x"), (1, 5, "user", "hi", "x"), (1, 6, "assistant", "no", "x"), (1, 7, "user", "so", "x")])[0]
+    assert got["n_prompt"] == 1 and got["complete"]
+    assert got["prompt"] == "<|user|>\nhi<|end|>\n"
+    assert got["chosen"] == "<|assistant|>\nyes<|end|>\n"
+    assert got["rejected"] == "<|assistant|>\nno<|end|>\n<|user|>\nso<|end|>\n"
+    assert [tuple(m) for m in got["rejected_mask"]] == [(14, False), (10, True), (9, False), (10, False)]
+    for side in ("chosen", "rejected"):
+        assert sum(m["length"] for m in got[f"{side}_mask"]) == len(got[side])
+
+
+def test_chat_odd_rows(spark):
+    got = pairs(spark, [(None, 0, "user", "lost", ""), (2, 0, None, None, ""), (2, 0, "user", "tie", ""), (2, None, "user", "first", ""), (4, 0, "user", "same", ""), (5, 0, "user", "same", ""), (4, 0, "user", "same", ""), (5, 0, "user", "same", "")])
+    assert set(got) == {1, 2}
+    one, two = got[1], got[2]
+    assert not one["complete"] and one["rejected"] == "" and one["n_prompt"] == 0
+    assert one["chosen"].startswith("<|user|>\nfirst") and "<|unknown|>\n<|end|>" in one["chosen"]
+    assert two["n_prompt"] == 2 and two["chosen"] == two["rejected"] == "" and two["chosen_mask"] == []
+    assert pairs(spark, []) == {}
+
+
+def test_pipeline_stages(spark, sf_dir, tmp_path):
+    docs = table(spark, sf_dir, "documents")
+    ids = [{r["doc_id"] for r in docs.collect()}]
+    names = docs.columns
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, sf_dir)
+        out.write.parquet(str(tmp_path / str(k)))
+        docs = spark.read.parquet(str(tmp_path / str(k)))
+        assert docs.columns == names or k == len(corpus_pipeline.STAGES) - 1
+        ids.append({r["doc_id"] for r in docs.collect()})
+        assert ids[-1] <= ids[-2]
+    labels = {r["doc_id"]: r["quality"] for r in table(spark, sf_dir, "labels").collect()}
+    good = [i in ids[1] for i, q in labels.items() if q == 1]
+    assert sum(good) / len(good) > 0.95
+    from tests.llm import brute
+
+    texts = {r["doc_id"]: r["text"] for r in table(spark, sf_dir, "documents").collect()}
+    kept = brute.simhash_classes([(i, texts[i]) for i in ids[1]])
+    assert ids[2] == {i for i, (_, c) in kept.items() if i == c}
+    flagged = {r["doc_id"] for r in QUERIES["op10_decontaminate"](spark, sf_dir).collect()}
+    assert not ids[3] & flagged
+    assert ids[5] == ids[4] and docs.count() >= len(ids[4])
+    assert set(corpus_pipeline.run(spark, sf_dir).columns) == set(docs.columns)
