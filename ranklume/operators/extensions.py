@@ -4,16 +4,24 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import parse, to_column
 from ..functions.compile import f32, less, signal
-from ..keys import POSITION
+from ..keys import POSITION, Key
 from .base import Context, NodeError, NodeSpec, positioned, with_keys
 from .core import CANDIDATE_ID, SCORE_BASE, SCORE_FINAL, union_in_order
 
 
+def as_key(expression: str, key: Key) -> Column:
+    """A SQL expression as a value of the key's type; a vector with null elements is a null vector."""
+    if key.type != "f32vec":
+        return F.expr(expression).cast(key.spark_type)
+    vector = F.expr(expression).cast("array<float>")
+    return F.when(F.forall(vector, lambda x: x.isNotNull()), vector)
+
+
 def table(ctx: Context, inputs: list[DataFrame], params: dict) -> DataFrame:
     """Reads a named table as candidates: SQL expressions for keys, and one for the position."""
     name = params.get("table")
@@ -23,7 +31,7 @@ def table(ctx: Context, inputs: list[DataFrame], params: dict) -> DataFrame:
     if params.get("where"):
         source = source.where(params["where"])
     keys = {ctx.registry.resolve(k): e for k, e in params.get("keys", {}).items()}
-    picked = source.select(F.expr(params.get("position", "monotonically_increasing_id()")).cast("long").alias(POSITION), *(F.expr(e).cast(k.spark_type).alias(k.column, metadata=k.metadata()) for k, e in keys.items()))
+    picked = source.select(F.expr(params.get("position", "monotonically_increasing_id()")).cast("long").alias(POSITION), *(as_key(e, k).alias(k.column, metadata=k.metadata()) for k, e in keys.items()))
     return positioned(picked)
 
 
@@ -64,8 +72,6 @@ def topk(ctx: Context, inputs: list[DataFrame], params: dict) -> DataFrame:
     score, cid = (ctx.registry.resolve(k) for k in (params.get("score_key_id", SCORE_FINAL), CANDIDATE_ID))
     ranked = df.withColumn("_score", signal(df.schema, score)).orderBy(F.desc("_score"), F.asc(cid.column), F.asc(POSITION)).limit(int(params.get("k", 10)))
     # k rows: numbering them in one task is bounded
-    from pyspark.sql import Window
-
     order = Window.orderBy(F.desc("_score"), F.asc(cid.column), F.asc(POSITION))
     return ranked.withColumn("_rank", F.row_number().over(order) - 1).withColumn(POSITION, F.col("_rank").cast("long")).drop("_rank", "_score")
 
@@ -94,7 +100,7 @@ def join_features(ctx: Context, inputs: list[DataFrame], params: dict) -> DataFr
         raise NodeError(f"join_features: unknown table {name!r}")
     cid = ctx.registry.resolve(CANDIDATE_ID).column
     keys = {ctx.registry.resolve(k): e for k, e in params.get("keys", {}).items()}
-    side = ctx.tables[name].select(F.expr(params["id"]).cast("long").alias(cid), *(F.expr(e).cast(k.spark_type).alias(k.column) for k, e in keys.items())).where(F.col(cid).isNotNull()).dropDuplicates([cid])
+    side = ctx.tables[name].select(F.expr(params["on"]).cast("long").alias(cid), *(as_key(e, k).alias(k.column) for k, e in keys.items())).where(F.col(cid).isNotNull()).dropDuplicates([cid])
     joined = df.drop(*(k.column for k in keys)).join(side, cid, "left")
     return with_keys(joined, {k: F.col(k.column) for k in keys})
 
@@ -119,6 +125,6 @@ SPECS = (
     _spec("topk", topk, params={"k": "int", "score_key_id": "int"}, reads=(CANDIDATE_ID,)),
     _spec("limit", limit, params={"n": "int"}),
     _spec("normalize", normalize, params={"key_id": "int", "output_key_id": "int"}, writes_from="output_key_id"),
-    _spec("join_features", join_features, params={"table": "string", "id": "sql", "keys": "map"}, reads=(CANDIDATE_ID,)),
+    _spec("join_features", join_features, params={"table": "string", "on": "sql", "keys": "map"}, reads=(CANDIDATE_ID,)),
     _spec("sample", sample, params={"rate": "float", "keys": "int[]"}),
 )
