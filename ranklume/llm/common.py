@@ -58,3 +58,15 @@ def hash60(col) -> F.Column:
 def long_array(values) -> str:
     """SQL text of a literal array of bigints."""
     return "array(" + ",".join(f"{int(v)}L" for v in values) + ")" if len(values) else "cast(array() as array<bigint>)"
+
+
+def hash_sample(df: DataFrame, n: int, size: int, *keys: str) -> DataFrame:
+    """About ``size`` of ``n`` rows, those whose keys have small hashes; the same in every run.
+
+    A filter, so no partition holds or sends more than its share; the limit, a
+    tenth above the expected size, bounds what the driver gets.
+    """
+    if n <= size:
+        return df
+    share = (F.xxhash64(F.lit(1), *keys).bitwiseAND(F.lit((1 << 40) - 1))) < int((1 << 40) * size / n)
+    return df.where(share).limit(size + size // 10 + 100)

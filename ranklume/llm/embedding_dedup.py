@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settled
+from .common import hash_sample, settled
 from .components import components, local_roots
 
 SLACK = 1e-6  # of computed distances
@@ -162,7 +162,7 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.93, id_col: str = "vec
     classes = settled(classes.withColumn("cid", F.monotonically_increasing_id()))
 
     n = classes.count()
-    sample = classes.select("label", "v", "cid").orderBy(F.xxhash64("cid"), "cid").limit(sample_size).collect()
+    sample = hash_sample(classes.select("label", "v", "cid"), n, sample_size, "cid").collect()
     drawn: dict[tuple[str, int], list] = {}
     for r in sample:
         drawn.setdefault((r["label"], len(r["v"])), []).append(r["v"])

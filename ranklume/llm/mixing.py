@@ -54,9 +54,10 @@ def targets(sources: DataFrame, share: float, weights=WEIGHTS, max_epochs: int =
     return s.select("sk", "s_size", F.when(F.col("free").isNull(), F.col("cap")).otherwise(F.least(F.col("cap"), F.col("free") * F.col("w"))).alias("target"))
 
 
-def mix(docs: DataFrame, share: float = 1.5, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, max_epochs: int = 2, seed: str = "mix", buckets: int = 1024, weight: F.Column | None = None) -> DataFrame:
+def mix(docs: DataFrame, share: float = 1.5, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, max_epochs: int = 2, seed: str = "mix", buckets: int = 1024, weight: F.Column | None = None, key_col: str | None = None) -> DataFrame:
     """``id, size, source_size, target, taken`` of every row.
 
+    Keys are drawn from a hash of ``key_col``, by default the id, so reruns agree.
     ``weight`` is the document's quality weight, a positive column of ``docs``;
     by default :func:`quality_weight`.
     """
@@ -66,7 +67,7 @@ def mix(docs: DataFrame, share: float = 1.5, id_col: str = "doc_id", text_col: s
         F.when(F.col(source_col).isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col(source_col))).alias("sk"),
         F.regexp_count(text, F.lit(SPACE_WORD)).cast("long").alias("size"),
         F.char_length(text).alias("n"),
-        F.conv(F.substring(F.md5(F.concat(F.lit(seed + "|"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary")), 1, 13), 16, 10).cast("long").alias("u"),
+        F.conv(F.substring(F.md5(F.concat(F.lit(seed + "|"), F.coalesce(F.col(key_col or id_col).cast("string"), F.lit(""))).cast("binary")), 1, 13), 16, 10).cast("long").alias("u"),
         *([weight.cast("double").alias("w0")] if weight is not None else []),
     )
     w = F.col("w0") if weight is not None else quality_weight(F.col("n"), F.col("size"))

@@ -22,7 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-N_BYTES = np.uint8
+from .common import hash_sample, settled
+
 _CLASS = np.zeros(256, dtype=np.int64)  # 0: anything else
 for _k, _chars in enumerate((b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t\r\x0b\x0c", b"\n", b".,;:'\"-()", b"!?", b"#$%&*+=@^~`_", b"|<>[]{}\\/"), 1):
     _CLASS[list(_chars)] = _k
@@ -143,13 +144,14 @@ def statistics_udf(text: pd.Series) -> pd.Series:
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", **options) -> Trees:
-    """Fits trees on at most ``max_rows`` labelled rows, those whose ids have the smallest hashes.
+    """Fits trees on about ``max_rows`` labelled rows at most (a tenth more at the very most), chosen by id hash.
 
     Held-out ids (:func:`is_held_out`) are never learnt from.  The sample bounds
     what is broadcast and what reaches the driver.
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~is_held_out(id_col))
-    known = known.groupBy(F.col(id_col).alias("k")).agg(F.max(label_col).cast("double").alias("y")).orderBy(F.xxhash64("k"), "k").limit(max_rows)
+    known = settled(known.groupBy(F.col(id_col).alias("k")).agg(F.max(label_col).cast("double").alias("y")))
+    known = hash_sample(known, known.count(), max_rows, "k")
     rows = docs.select(F.col(id_col).alias("k"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).join(F.broadcast(known), "k")
     made = rows.select("k", "y", statistics_udf("t").alias("x")).groupBy("k", "y").agg(F.min("x").alias("x")).orderBy("k").collect()
     return fit(np.array([r["x"] for r in made], float).reshape(-1, len(STATISTICS)), np.array([r["y"] for r in made]), **options)

@@ -64,6 +64,29 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUALITY_BOUND = 0.3
 QUERIES = {f.__name__: f for f in (op1_quality, op2_warc, op3_sharding, op4_chat_formatting, op5_simhash, op6_mixing, op7_embedding_dedup, op8_license_scan, op9_suffix_dedup, op10_decontaminate)}
 
+OP2_SQL = r"""
+with p as (select page_id, coalesce(html, '') as body from pages),
+h as (select *, strlen(body)::bigint as payload_bytes, sha1(body) as hex, min(page_id) over (partition by body) as first from p),
+d as (select *, list_transform(range(32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[(((('0x' || hex[1 + 10 * (i // 8) : 10 + 10 * (i // 8)])::bigint >> (35 - 5 * (i % 8))) & 31) + 1)::int]) as digits from h)
+select page_id, payload_bytes, array_to_string(digits, '') as payload_digest,
+       case when first is not null and page_id is distinct from first then 'revisit' else 'response' end as record_type,
+       case when first is not null and page_id is distinct from first then first end as refers_to
+from d
+"""
+
+#: CRC-32 is made from its table; the rest is one order over all rows.
+OP3_SQL = r"""
+with crc_table as (select list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384::bigint) else c >> 1 end, i::bigint)) as tab),
+d as (select doc_id, strlen(coalesce(text, ''))::bigint + 8 as size,
+             xor(list_reduce(list_transform(regexp_extract_all(hex(coalesce(text, '')), '..'), lambda b: ('0x' || b)::bigint), lambda c, b: xor(c >> 8, tab[((xor(c, b) & 255) + 1)::int]), 4294967295::bigint), 4294967295::bigint) as crc,
+             ('0x' || substr(md5(coalesce(text, '')), 1, 15))::bigint as k1, ('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 15))::bigint as k2
+      from documents, crc_table),
+o as (select *, sum(size) over (order by k1, k2, doc_id nulls first, size rows unbounded preceding) - size as pos, sum(size) over (partition by k1) as g_bytes, sum(size) over () as total from d),
+g as (select *, min(pos) over (partition by k1) as g_pos from o),
+s as (select *, least(23, floor((case when g_bytes <= 0.01::double * total / 24 then 2 * g_pos + g_bytes else 2 * pos + size end * 24)::double / (2.0::double * total)))::int as shard from g)
+select doc_id, size, crc as text_crc32, 'bytes' as law, shard, row_number() over (partition by shard order by pos, size) - 1 as slot, null::int as grown_shard from s
+"""
+
 OP4_SQL = r"""
 with t as (
   select conv_id // 2 as pair_id, conv_id % 2 = 0 as side, coalesce(role, 'unknown') as role, coalesce(text, '') as text,
@@ -108,6 +131,20 @@ select doc_id, size, s_size as source_size, target, (size * (epochs + case when
 """
 
 
+OP7_SQL = r"""
+with recursive v as (select vec_id, label, list_transform(embedding, lambda x: x::double) as e from embeddings),
+f as (select vec_id, label, e, sqrt(list_reduce(list_transform(e, lambda x: x * x), lambda a, x: a + x)) as n from v
+      where label is not null and e is not null and len(e) > 0 and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(e, lambda x: x <> 0)) > 0),
+l as (select a.vec_id as a, b.vec_id as b from f a join f b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+      where list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.93),
+r(a, c) as (select a, b from l union select r.a, l.b from r join l on r.c = l.a),
+c as (select a, min(c) as least_c from r group by a),
+k as (select a, count(*) as n_links from l group by a)
+select vec_id, coalesce(n_links, 0)::bigint as n_links, least(vec_id, coalesce(least_c, vec_id))::bigint as component_id, vec_id = least(vec_id, coalesce(least_c, vec_id)) as kept
+from v left join c on c.a = vec_id left join k on k.a = vec_id
+"""
+
+
 def _op8_sql() -> str:
     pairs = license_scan.template_pairs()
     full: dict[int, int] = {}
@@ -133,4 +170,4 @@ from d left join k on d.rid = k.rid group by d.rid, doc_id, words
 """
 
 
-ORACLE_SQL = {"op4_chat_formatting": OP4_SQL, "op6_mixing": OP6_SQL, "op8_license_scan": _op8_sql()}
+ORACLE_SQL = {"op2_warc": OP2_SQL, "op3_sharding": OP3_SQL, "op4_chat_formatting": OP4_SQL, "op6_mixing": OP6_SQL, "op7_embedding_dedup": OP7_SQL, "op8_license_scan": _op8_sql()}

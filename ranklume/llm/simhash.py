@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import settled
+from .common import hash_sample, settled
 from .components import components, local_roots
 
 CHUNK = 1 << 15
@@ -174,7 +174,7 @@ def link(prints: DataFrame, radius: int = 4, sample_size: int = 4096, shard_rows
     about ``shard_rows`` home fingerprints each.
     """
     n = prints.count()
-    sample = np.array([r[0] for r in prints.orderBy(F.xxhash64("fp"), "fp").limit(sample_size).collect()], dtype=np.int64).view(np.uint64)
+    sample = np.array([r[0] for r in hash_sample(prints, n, sample_size, "fp").collect()], dtype=np.int64).view(np.uint64)
     depth = 0 if n <= 2000 else max(least_shards - 1, -(-n // shard_rows) - 1).bit_length()
     tree = top_tree(sample, depth)
 
@@ -213,12 +213,17 @@ def link(prints: DataFrame, radius: int = 4, sample_size: int = 4096, shard_rows
     return packed.groupBy("shard").applyInArrow(join, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, **options) -> DataFrame:
-    """``id, fp, component_id`` of every row; ``component_id`` is the smallest id reachable over links."""
-    rows = settled(docs.select(F.col(id_col).alias("id"), fingerprint_udf(F.col(text_col)).alias("fp")))
-    classes = settled(rows.groupBy("fp").agg(F.min("id").alias("rep")))
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, name_col: str | None = None, **options) -> DataFrame:
+    """``id, name, fp, component_root, component_id`` of every row.
+
+    ``component_id`` is the smallest name (``name_col``, by default the id)
+    reachable over links; ``component_root``, a fingerprint, tells components
+    apart where names are null.
+    """
+    rows = settled(docs.select(F.col(id_col).alias("id"), F.col(name_col or id_col).alias("name"), fingerprint_udf(F.col(text_col)).alias("fp")))
+    classes = settled(rows.groupBy("fp").agg(F.min("name").alias("rep")))
     found = components(link(classes.select("fp"), radius, **options))
     rooted = settled(classes.join(found.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root")))
     least = settled(rooted.groupBy("root").agg(F.min("rep").alias("component_id")))
-    classes = settled(rooted.join(least, "root").select("fp", "component_id"))
-    return rows.join(classes, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    classes = settled(rooted.join(least, "root").select("fp", F.col("root").alias("component_root"), "component_id"))
+    return rows.join(classes, "fp").select(F.col("id").alias(id_col), "name", "fp", "component_root", "component_id")

@@ -26,6 +26,7 @@ like any other.  Repeated rows are repeats of each other.  Texts shorter than
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -222,28 +223,39 @@ def repeated_starts(contexts: list[bytes], offsets: list[int], length: int) -> l
         if lo <= hi:
             flags[i][max(lo, 0) : hi + 1] = True
 
-    def settle(at: list[int], depth: int):
-        """``at`` agree for ``depth`` bytes to the right: pair each with its neighbours to the left."""
-        ranks = sorted(left_rank[i] for i in at)
-        for p, q in zip(ranks, ranks[1:]):
-            i, j = left_order[p], left_order[q]
-            left = common(lefts[i], lefts[j])
-            mark(i, left, depth), mark(j, left, depth)
+    def joined(a: list[int], b: list[int], depth: int) -> list[int]:
+        """Joins left ranks of suffixes that agree for ``depth`` bytes to the right.
+
+        The smaller list goes into the larger one, and each of its members meets
+        its neighbours in left order.  Other neighbours have met, at more bytes.
+        """
+        if depth < need:
+            return a  # nothing below this depth can make a window
+        if len(a) < len(b):
+            a, b = b, a
+        for r in b:
+            p = bisect(a, r)
+            i = left_order[r]
+            for q in a[max(0, p - 1) : p + 1]:
+                j = left_order[q]
+                left = common(lefts[i], lefts[j])
+                mark(i, left, depth), mark(j, left, depth)
+            a.insert(p, r)
+        return a
 
     # The groups that agree for ever fewer bytes to the right form a tree over the order.  In a group,
-    # the best partner to the left of each member is its neighbour in left order.  A group that
-    # adds nothing (no member could reach a window with it) is left out.
+    # the best partner to the left of each member is a neighbour in left order.
     need = length - max(offsets, default=0)
-    stack: list[tuple[int, int]] = []  # (depth, first place)
+    stack: list[tuple[int, list[int]]] = []
+    last = [left_rank[order[0]]] if n else []
     for place in range(1, n + 1):
         depth = lcp[place] if place < n else -1
-        first = place - 1
-        while stack and stack[-1][0] > depth:
-            d, first = stack.pop()
-            if d >= need:
-                settle(order[first:place], d)
-        if depth >= 0 and (not stack or stack[-1][0] < depth):
-            stack.append((depth, first))
+        while stack and stack[-1][0] >= depth:
+            d, before = stack.pop()
+            last = joined(before, last, d)
+        if place < n:
+            stack.append((depth, last))
+            last = [left_rank[order[place]]]
     return flags
 
 
