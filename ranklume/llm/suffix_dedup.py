@@ -11,7 +11,10 @@ by what they start with, and ordered by deep-shallow sorting:
 2. Anchors whose k-gram occurs once have no repeats.  Of the others, contexts
    that occur more than once are repeats as a whole: copies of any number need
    no comparison, only counting.
-3. The remaining contexts are brought together by k-gram.  Their suffixes, from
+3. The remaining contexts are brought together by k-gram.  A k-gram with very
+   many contexts (a frequent line) is split first: a window that two contexts
+   share goes on equally by half of what it lacks on one side at least, so
+   contexts meet by their next bytes to the right or to the left.  Their suffixes, from
    the anchor to the right, and their prefixes, to the left, are ordered by
    deep-shallow sorting: multikey quicksort to a shallow depth, then a blind
    trie for each group with a longer common prefix.  Common prefix lengths of
@@ -40,6 +43,7 @@ from .common import settled, stored
 
 GRAM = 64
 SHALLOW = 24
+CROWD = 64  # different contexts of a k-gram from which on it is split
 DENSITY = np.uint64(1 << 60)  # hashes below this, 1 in 16, are looked at first
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
 
@@ -308,9 +312,10 @@ def _cut_contexts(length: int):
                 for s in ss:
                     lo, more, off = s["span"] >> 20, s["span"] >> 10 & 1023, s["span"] & 1023
                     piece = raw[lo : lo + more + length]
-                    for c, v in zip(out, (d, t, s["gram"], lo, off, s["n"], piece)):
-                        c.append(v)
-                    held += len(piece)
+                    for key in meeting_keys(piece, off, s["gram"], s["m"], length):
+                        for c, v in zip(out, (d, t, key, lo, off, s["n"], piece)):
+                            c.append(v)
+                        held += len(piece)
                 if held > 8 << 20:
                     yield _contexts(out)
                     out, held = [[] for _ in range(7)], 0
@@ -320,12 +325,25 @@ def _cut_contexts(length: int):
     return run
 
 
+def meeting_keys(context: bytes, off: int, gram: int, crowd: int, length: int) -> list[int]:
+    """Keys such that two contexts of a k-gram that share a window share a key.
+
+    Of the bytes that a window has besides the k-gram, at least half are on one
+    side of it.
+    """
+    if crowd <= CROWD:
+        return [gram]
+    half = (length - GRAM + 1) // 2
+    sides = [(off, off + GRAM + half, gram & 0xFFFFFFFF), (off - half, off + GRAM, gram >> 32 & 0xFFFFFFFF | 1 << 32)]
+    return [xxhash.xxh3_64_intdigest(context[a:b], seed) - (1 << 63) for a, b, seed in sides if a >= 0 and b <= len(context)]
+
+
 def _contexts(out):
-    return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:6]), pa.array(out[6], pa.binary())], names=["doc", "th", "gram", "lo", "off", "n", "bytes"])
+    return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:6]), pa.array(out[6], pa.binary())], names=["doc", "th", "key", "lo", "off", "n", "bytes"])
 
 
 def _settle_groups(length: int):
-    """Rows sorted by k-gram -> runs of repeated starts ``doc, th, lo, hi`` of contexts that occur once."""
+    """Rows sorted by key -> runs of repeated starts ``doc, th, lo, hi`` of contexts that occur once."""
 
     def solve(rows: list[tuple]) -> list[tuple]:
         distinct = {(r[6], r[4]) for r in rows}
@@ -390,12 +408,12 @@ def repeated(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_co
     shared = stored(found.join(often, "gram"))
     ctx = settled(shared.groupBy("gram", "ctx").agg(F.count("*").alias("n"), F.min("doc").alias("one")))
     whole = shared.join(ctx.where("n > 1").select("gram", "ctx"), ["gram", "ctx"]).select("doc", "th", F.expr("shiftright(span, 20)").alias("lo"), F.expr("shiftright(span, 20) + (shiftright(span, 10) & 1023)").alias("hi"))
-    mixed = settled(ctx.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1").select("gram"))
-    wanted = ctx.join(mixed, "gram").select("gram", "ctx", "n", "one")
-    wanted = shared.join(wanted, ["gram", "ctx"]).where("doc = one").select("doc", "th", F.struct("gram", "span", "n").alias("s"))
+    mixed = settled(ctx.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1"))
+    wanted = ctx.join(mixed, "gram").select("gram", "ctx", "n", "one", "m")
+    wanted = shared.join(wanted, ["gram", "ctx"]).where("doc = one").select("doc", "th", F.struct("gram", "span", "n", "m").alias("s"))
     wanted = settled(wanted.groupBy("doc", "th").agg(F.collect_list("s").alias("spans")))
-    pieces = base.where(F.octet_length("raw") >= length).join(wanted.hint("shuffle_hash"), ["doc", "th"]).select("doc", "th", "raw", "spans").mapInArrow(_cut_contexts(length), "doc long, th long, gram long, lo long, off long, n long, bytes binary")
-    partial = pieces.repartition("gram").sortWithinPartitions("gram").mapInArrow(_settle_groups(length), "doc long, th long, lo long, hi long")
+    pieces = base.where(F.octet_length("raw") >= length).join(wanted.hint("shuffle_hash"), ["doc", "th"]).select("doc", "th", "raw", "spans").mapInArrow(_cut_contexts(length), "doc long, th long, key long, lo long, off long, n long, bytes binary")
+    partial = pieces.repartition("key").sortWithinPartitions("key").mapInArrow(_settle_groups(length), "doc long, th long, lo long, hi long")
     return settled(whole.unionByName(partial).distinct().groupBy("doc", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("runs")))
 
 
