@@ -43,6 +43,7 @@ from .common import settled, stored
 
 GRAM = 64
 SHALLOW = 24
+SAMPLED_BYTES = 1 << 20  # of texts that are sampled together
 CROWD = 64  # different contexts of a k-gram from which on it is split
 DENSITY = np.uint64(1 << 60)  # hashes below this, 1 in 16, are looked at first
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
@@ -67,12 +68,14 @@ def gram_hashes(raw: np.ndarray, k: int = GRAM) -> np.ndarray:
     return h
 
 
-def anchors(h: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(position, first start, last start)`` of the leftmost minimum of every window of ``w`` hashes."""
+def anchors(h: np.ndarray, w: int, starts: np.ndarray | None = None, ends: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """``(part, position, first start, last start)`` of the leftmost minimum of every window of ``w`` hashes.
+
+    ``starts`` and ``ends`` cut the hashes into parts that windows stay in; what
+    lies between parts is no one's.  Many small texts are done at once this way.
+    """
     n = len(h)
-    none = np.zeros(0, np.int64)
-    if n < w:
-        return none, none, none
+    starts, part_ends = (np.zeros(1, np.int64), np.array([n])) if starts is None else (starts, ends)
     pos = np.flatnonzero(h < DENSITY)
     ends = np.concatenate(([-1], pos, [n]))
     for g in np.flatnonzero(np.diff(ends) > w):  # windows without a small hash: look at all of theirs
@@ -93,10 +96,11 @@ def anchors(h: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             stop = val[other] <= val[alive] if side < 0 else val[other] < val[alive]
             (before if side < 0 else after)[alive[stop]] = pos[other[stop]]
             alive = alive[~stop]
-    lo = np.maximum(np.maximum(before + 1, pos - w + 1), 0)
-    hi = np.minimum(np.minimum(pos, after - w), n - w)
+    part = np.searchsorted(starts, pos, side="right") - 1
+    lo = np.maximum(np.maximum(before + 1, pos - w + 1), starts[part])
+    hi = np.minimum(np.minimum(pos, after - w), part_ends[part] - w)
     ok = lo <= hi
-    return pos[ok], lo[ok], hi[ok]
+    return part[ok], pos[ok], lo[ok], hi[ok]
 
 
 # -- deep-shallow sorting ------------------------------------------------------
@@ -276,26 +280,27 @@ def _sample(length: int):
     names = ["doc", "th", "gram", "ctx", "span"]  # span: first start, number of further starts, offset of the anchor
     types = [pa.int64()] * len(names)
 
+    def sampled(docs: list[int], ths: list[int], raws: list[bytes]) -> pa.RecordBatch:
+        flat = b"".join(raws)
+        h = gram_hashes(np.frombuffer(flat, np.uint8))
+        ends = np.cumsum([len(r) for r in raws])
+        starts = ends - [len(r) for r in raws]
+        part, pos, lo, hi = anchors(h, length - GRAM + 1, starts, ends - GRAM + 1)
+        ctx = np.fromiter((xxhash.xxh3_64_intdigest(flat[a:b], 9) for a, b in zip(lo.tolist(), (hi + length).tolist())), np.uint64, len(lo)).view(np.int64)
+        cols = np.array(docs, np.int64)[part], np.array(ths, np.int64)[part], h[pos].view(np.int64), ctx, (lo - starts[part]) << 20 | (hi - lo) << 10 | (pos - lo)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
+
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            cols: list[list[np.ndarray]] = [[] for _ in names]
-            held = 0
-            for doc, th, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                raw = text or b""
-                if len(raw) < length:
-                    continue
-                h = gram_hashes(np.frombuffer(raw, np.uint8))
-                pos, lo, hi = anchors(h, length - GRAM + 1)
-                ctx = np.fromiter((xxhash.xxh3_64_intdigest(raw[a:b], 9) for a, b in zip(lo.tolist(), (hi + length).tolist())), np.uint64, len(lo)).view(np.int64)
-                one = np.ones(len(pos), np.int64)
-                for c, v in zip(cols, (one * (doc if doc is not None else -(1 << 62)), one * th, h[pos].view(np.int64), ctx, lo << 20 | (hi - lo) << 10 | (pos - lo))):
-                    c.append(v)
-                held += len(pos)
-                if held > 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), t) for c, t in zip(cols, types)], names=names)
-                    cols, held = [[] for _ in names], 0
-            if held:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), t) for c, t in zip(cols, types)], names=names)
+            docs, ths, raws, held = [], [], [], 0
+            for doc, th, raw in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                docs.append(doc), ths.append(th), raws.append(raw)
+                held += len(raw)
+                if held > SAMPLED_BYTES:
+                    yield sampled(docs, ths, raws)
+                    docs, ths, raws, held = [], [], [], 0
+            if raws:
+                yield sampled(docs, ths, raws)
 
     return run, ", ".join(f"{x} long" for x in names)
 

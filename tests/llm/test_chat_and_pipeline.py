@@ -83,3 +83,18 @@ def test_pipeline_stages(spark, sf_dir, tmp_path):
     assert not ids[3] & flagged
     assert ids[5] == ids[4] and docs.count() >= len(ids[4])
     assert set(corpus_pipeline.run(spark, sf_dir).columns) == set(docs.columns)
+
+
+def test_stages_with_null_and_repeated_ids(spark, tmp_path):
+    rows = [(None, "a b c d e"), (None, "zzz yyy"), (1, "a b c d e"), (2, "q r s t u v"), (2, "other words stand here now"), (2, "q r s t u v"), (3, None), (None, "")]
+    df = spark.createDataFrame([(i, t, "en", "s", 0, "x", 7) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, _row string, size int")
+    df.write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    kept = corpus_pipeline.keep_one_of_near_duplicates(spark, docs, "")
+    assert kept.columns == docs.columns and {r["_row"] for r in kept.collect()} == {"x"}
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept.collect()) == [(0, "zzz yyy"), (1, "a b c d e"), (2, "other words stand here now"), (2, "q r s t u v"), (3, "")]
+    mixed = corpus_pipeline.mix_sources(spark, docs, "")
+    assert mixed.columns == docs.columns and {r["text"] for r in mixed.collect()} <= {t for _, t in rows}
+    assert corpus_pipeline.cut_into_shards(spark, docs, "").count() == len(rows)
+    for stage in (corpus_pipeline.keep_one_of_near_duplicates, corpus_pipeline.mix_sources, corpus_pipeline.cut_into_shards):
+        assert stage(spark, docs.where("false"), "").count() == 0

@@ -357,10 +357,40 @@ def test_anchors_are_leftmost_minima():
         want: dict[int, list[int]] = {}
         for s in range(len(h) - w + 1):
             want.setdefault(s + int(np.argmin(h[s : s + w])), []).append(s)
-        pos, lo, hi = suffix_dedup.anchors(h, w)
+        _, pos, lo, hi = suffix_dedup.anchors(h, w)
         assert {p: (a, b) for p, a, b in zip(pos.tolist(), lo.tolist(), hi.tolist())} == {p: (s[0], s[-1]) for p, s in want.items()}
 
 
+def test_anchors_of_parts_are_those_of_each_part():
+    rng = np.random.default_rng(5)
+    sizes = [130, 10, 49, 50, 400, 0, 90]
+    h = rng.integers(0, 2**64, sum(sizes) + 30 * len(sizes), dtype=np.uint64)
+    starts = np.cumsum([0] + [s + 30 for s in sizes])[:-1]
+    ends = starts + sizes
+    want = []
+    for p, (a, b) in enumerate(zip(starts, ends)):
+        want += [(p, x + a, y + a, z + a) for _, x, y, z in zip(*map(np.ndarray.tolist, suffix_dedup.anchors(h[a:b], 50)))]
+    assert list(zip(*map(np.ndarray.tolist, suffix_dedup.anchors(h, 50, starts, ends)))) == want
+
+
+def test_repeats_with_a_crowded_line(spark):
+    rng = random.Random(3)
+    word = lambda n: " ".join("".join(rng.choices("abcdefgh", k=rng.randrange(2, 9))) for _ in range(n))
+    lines, passages = [word(n) for n in (14, 16, 20, 36, 60)], [word(n) for n in (75, 90, 120)]
+    rows = []
+    for i in range(200):
+        parts = [word(rng.randrange(0, 40)), lines[i % 2] if i % 3 else rng.choice(lines), word(rng.randrange(0, 60))]
+        if i % 4 == 0:
+            parts[1:1] = [rng.choice(passages)]
+        if i % 5 == 0:
+            edited = list(passages[2])
+            edited[rng.randrange(len(edited))] = "#"
+            parts.append("".join(edited))
+        rows.append((i, " ".join(parts)))
+    got = {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute.repeats(rows) and sum(v[1] > 0 for v in got.values()) > 50
+
+
 def test_repeats_match_counting_every_window(docs):
     got = {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.remove_repeats(docs).collect()}
     assert got == brute.repeats(texts(docs))
