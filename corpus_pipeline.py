@@ -15,18 +15,35 @@ from ranklume.llm.common import new_shared_path
 from ranklume.llm.queries import QUALITY_BOUND, table
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column has it."""
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """Rows with a number, and the name of its column.
+
+    Over a file scan, which is what a stage gets, the number of a row is the
+    same each time it is read.
+    """
+    name = free_name(docs, "_row")
+    return docs.withColumn(name, F.monotonically_increasing_id()), name
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject."""
-    trees = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, trees, score_col="_quality").where(F.col("_quality") >= QUALITY_BOUND).drop("_quality")
+    trees, name = quality.train(docs, table(spark, sf_dir, "labels")), free_name(docs, "_quality")
+    return quality.score(docs, trees, score_col=name).where(F.col(name) >= QUALITY_BOUND).drop(name)
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each SimHash component, the document with the smallest id; one of repeated rows."""
-    found = simhash.near_duplicates(docs, radius=4)
-    first = found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.min("fp").alias("_fp"))
-    kept = docs.join(first, "doc_id").select(docs.columns)
-    return kept.dropDuplicates(["doc_id"])
+    """Of each SimHash component, the row with the smallest id (null ids last)."""
+    rows, row = numbered(docs)
+    found = simhash.near_duplicates(rows, id_col=row, name_col="doc_id", radius=4)
+    first = found.groupBy("component_root").agg(F.min(F.struct(F.col("name").isNull(), "name", row)).alias("x")).select(f"x.{row}")
+    return rows.join(first, row).select(docs.columns)
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,8 +53,11 @@ def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: not at all, once or twice."""
-    taken = mixing.mix(docs, 1.5).where(F.col("taken") > 0).select("doc_id", F.floor(F.col("taken") / F.col("size")).cast("int").alias("_times"))
-    return docs.join(taken, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(docs.columns)
+    rows, row = numbered(docs)
+    taken = mixing.mix(rows, 1.5, id_col=row, key_col="doc_id").where(F.col("taken") > 0)
+    times, copy = free_name(docs, "_times"), free_name(docs, "_copy")
+    taken = taken.select(row, F.floor(F.col("taken") / F.col("size")).cast("int").alias(times))
+    return rows.join(taken, row).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(docs.columns)
 
 
 def cut_into_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
