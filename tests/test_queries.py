@@ -38,3 +38,16 @@ def test_entry(spark):
     df = __spark_entry__.entry(spark)
     assert df.count() > 0 and df.columns == ["cand_candidate_id", "score_ml", "score_final"]
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_entry_points_work_without_the_optional_subpackage(tmp_path):
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__spark_entry__.__file__).parent
+    shutil.copytree(root / "ranklume", tmp_path / "ranklume", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'pipeline_full' in q and 'pipeline' not in q and set(e.oracle_sql()) <= set(q)"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=120)
