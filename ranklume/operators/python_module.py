@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..keys import POSITION, Key, KeyRegistry
+from ..shipping import ship
 from ..sources.csv import IoBudget, IoError, Policy, read_csv
 from .base import Context, NodeError, NodeSpec, with_keys
 
@@ -207,6 +208,7 @@ def run_on(module: Module, rows: pd.DataFrame, registry: KeyRegistry, policy: Po
 
 def apply_module(module: Module, ctx: Context, df: DataFrame, params: dict) -> DataFrame:
     """Adds the columns that the module writes.  Rows, order and other columns stay."""
+    ship(ctx.spark)
     meta, registry = module.meta, ctx.registry
     outputs: list[Key] = []
     for key_id in meta.writes:
