@@ -26,6 +26,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 MATCH, MISMATCH, GAP = 2, -1, -1
 HIT = "array<struct<item_id: long, score: double, first_word: long, last_word: long>>"
@@ -166,6 +168,7 @@ def _blocks(items: DataFrame, block_items: int, n: int, item_id: str, item_text:
 
 def seeded(docs: DataFrame, index: Index, text_col: str = "text") -> Index:
     """The index with seeds chosen by document frequencies over all of ``docs``."""
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def count(batches):
@@ -201,7 +204,7 @@ def aligned(index: Index, docs: DataFrame, text: F.Column, least: float) -> F.Co
     return hits(text)
 
 
-def contaminated(docs: DataFrame, items: DataFrame, least: float = 0.5, n: int = 3, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", block_items: int = 20_000) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, least: float = 0.4, n: int = 3, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", block_items: int = 20_000) -> DataFrame:
     """``id, item_id, score, first_word, last_word`` of every document and item that align with ``least`` or more."""
     out = None
     for index in _blocks(items, block_items, n, item_id, item_text):
@@ -211,7 +214,7 @@ def contaminated(docs: DataFrame, items: DataFrame, least: float = 0.5, n: int =
     return out
 
 
-def clean(docs: DataFrame, items: DataFrame, least: float = 0.5, n: int = 3, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", block_items: int = 20_000) -> DataFrame:
+def clean(docs: DataFrame, items: DataFrame, least: float = 0.4, n: int = 3, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", block_items: int = 20_000) -> DataFrame:
     """The rows of ``docs`` that align with no item."""
     kept = docs
     for index in _blocks(items, block_items, n, item_id, item_text):

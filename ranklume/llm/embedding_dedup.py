@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from .common import hash_sample, settled
 from .components import components, local_roots
 
@@ -154,6 +155,7 @@ def _vectors(blob: bytes, dim: int) -> np.ndarray:
 
 def near_duplicates(rows: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", block_rows: int = 1500, sample_size: int = 4096) -> DataFrame:
     """``id, n_links, component_id, kept`` of every row."""
+    ship(rows.sparkSession)
     vec = F.col(vec_col).cast("array<double>")
     rows = settled(rows.select(F.col(id_col).alias("id"), F.col(label_col).cast("string").alias("label"), vec.alias("v")))
     fine = F.col("label").isNotNull() & F.col("v").isNotNull() & F.coalesce(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False)) & F.exists("v", lambda x: x != 0)

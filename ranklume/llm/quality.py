@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..shipping import ship
 from .common import hash_sample, settled
 
 _CLASS = np.zeros(256, dtype=np.int64)  # 0: anything else
@@ -149,6 +150,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, id_col: st
     Held-out ids (:func:`is_held_out`) are never learnt from.  The sample bounds
     what is broadcast and what reaches the driver.
     """
+    ship(docs.sparkSession)
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~is_held_out(id_col))
     known = settled(known.groupBy(F.col(id_col).alias("k")).agg(F.max(label_col).cast("double").alias("y")))
     known = hash_sample(known, known.count(), max_rows, "k")
@@ -159,6 +161,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, id_col: st
 
 def score(docs: DataFrame, trees: Trees, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """``docs`` with the probability of label 1 of every whole text."""
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(trees)  # a few thousand numbers
 
     @F.pandas_udf(T.DoubleType())

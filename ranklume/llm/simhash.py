@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..shipping import ship
 from .common import hash_sample, settled
 from .components import components, local_roots
 
@@ -220,6 +221,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reachable over links; ``component_root``, a fingerprint, tells components
     apart where names are null.
     """
+    ship(docs.sparkSession)
     rows = settled(docs.select(F.col(id_col).alias("id"), F.col(name_col or id_col).alias("name"), fingerprint_udf(F.col(text_col)).alias("fp")))
     classes = settled(rows.groupBy("fp").agg(F.min("name").alias("rep")))
     found = components(link(classes.select("fp"), radius, **options))

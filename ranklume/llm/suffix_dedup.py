@@ -39,6 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from .common import settled, stored
 
 GRAM = 64
@@ -402,6 +403,7 @@ def repeated(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_co
 
     ``doc`` and ``th`` (a hash of the text) identify a document's text.
     """
+    ship(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 62))).alias("doc"), F.xxhash64(text).alias("th"), text.alias("raw"))
     sample, schema = _sample(length)
