@@ -36,8 +36,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..shipping import ship
 from .common import settled, stored
@@ -313,8 +315,9 @@ def _cut_contexts(length: int):
         for batch in batches:
             out = [[] for _ in range(7)]
             doc, th, text, spans = (batch.column(i).to_pylist() for i in range(4))
-            held = 0
-            for d, t, raw, ss in zip(doc, th, text, spans):
+            held, unpack = 0, zstandard.ZstdDecompressor().decompress
+            for d, t, z, ss in zip(doc, th, text, spans):
+                raw = unpack(z)
                 for s in ss:
                     lo, more, off = s["span"] >> 20, s["span"] >> 10 & 1023, s["span"] & 1023
                     piece = raw[lo : lo + more + length]
@@ -398,6 +401,12 @@ def cut(raw: bytes, starts: list[tuple[int, int]], length: int) -> tuple[list[tu
     return [(a, b) for a, b in spans], b"".join(kept)
 
 
+@F.pandas_udf(T.BinaryType())
+def packed(raw: pd.Series) -> pd.Series:
+    """Texts as they travel: a third of the size, where the shuffle's own codec gets to two thirds."""
+    return raw.map(zstandard.ZstdCompressor(level=3).compress)
+
+
 def repeated(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc, th, runs`` of documents with repeats: runs of starts (lo, hi) of repeated windows.
 
@@ -419,7 +428,8 @@ def repeated(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_co
     wanted = ctx.join(mixed, "gram").select("gram", "ctx", "n", "one", "m")
     wanted = shared.join(wanted, ["gram", "ctx"]).where("doc = one").select("doc", "th", F.struct("gram", "span", "n", "m").alias("s"))
     wanted = settled(wanted.groupBy("doc", "th").agg(F.collect_list("s").alias("spans")))
-    pieces = base.where(F.octet_length("raw") >= length).join(wanted.hint("shuffle_hash"), ["doc", "th"]).select("doc", "th", "raw", "spans").mapInArrow(_cut_contexts(length), "doc long, th long, key long, lo long, off long, n long, bytes binary")
+    travelling = base.where(F.octet_length("raw") >= length).select("doc", "th", packed("raw").alias("z"))
+    pieces = travelling.join(wanted.hint("shuffle_hash"), ["doc", "th"]).select("doc", "th", "z", "spans").mapInArrow(_cut_contexts(length), "doc long, th long, key long, lo long, off long, n long, bytes binary")
     partial = pieces.repartition("key").sortWithinPartitions("key").mapInArrow(_settle_groups(length), "doc long, th long, lo long, hi long")
     return settled(whole.unionByName(partial).distinct().groupBy("doc", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("runs")))
 
@@ -427,16 +437,16 @@ def repeated(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_co
 def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", with_kept: bool = False) -> DataFrame:
     """``id, n_bytes, n_removed, n_spans, kept_sha256`` of every row (and ``spans, kept`` on request)."""
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 62))).alias("doc"), F.xxhash64(text).alias("th"), text.alias("raw"))
+    base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 62))).alias("doc"), F.xxhash64(text).alias("th"), packed(text).alias("z"))
     schema = "n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", spans array<struct<first: long, end: long>>, kept binary" if with_kept else "")
 
     @F.pandas_udf(f"struct<{schema}>")
-    def removed(raw: pd.Series, runs_: pd.Series) -> pd.DataFrame:
-        rows = []
-        for r, s in zip(raw, runs_):
+    def removed(z: pd.Series, runs_: pd.Series) -> pd.DataFrame:
+        rows, unpack = [], zstandard.ZstdDecompressor().decompress
+        for r, s in zip(map(unpack, z), runs_):
             spans, kept = cut(r, [(x["lo"], x["hi"]) for x in s] if s is not None else [], length)
             rows.append((len(r), len(r) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), *(([{"first": a, "end": b} for a, b in spans], kept) if with_kept else ())))
         return pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", *(["spans", "kept"] if with_kept else [])])
 
     joined = base.join(repeated(docs, length, id_col, text_col).hint("shuffle_hash"), ["doc", "th"], "left")
-    return joined.select("id", removed("raw", "runs").alias("x")).select(F.col("id").alias(id_col), "x.*")
+    return joined.select("id", removed("z", "runs").alias("x")).select(F.col("id").alias(id_col), "x.*")
