@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: A word of the whitespace tokenisation, as a Java / RE2 pattern.
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
+#: An input with less than this for each core is small.
+SPREAD_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -49,6 +51,13 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A small input, which may be a single block of a file, dealt over the cores; any other as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * SPREAD_BYTES else df
+
+
 def hash60(col) -> F.Column:
     """60 uniform bits of a string (null: empty), the same in any SQL engine."""
     text = F.coalesce(col.cast("string"), F.lit(""))

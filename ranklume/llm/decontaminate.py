@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
+from .common import spread
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -179,7 +180,7 @@ def seeded(docs: DataFrame, index: Index, text_col: str = "text") -> Index:
         seen = np.flatnonzero(total)
         yield from pd_batches(seen, total[seen])
 
-    rows = docs.select(F.col(text_col).cast("string").alias("t")).mapInArrow(count, "gram long, df long").groupBy("gram").agg(F.sum("df").alias("df")).collect()
+    rows = spread(docs.select(F.col(text_col).cast("string").alias("t"))).mapInArrow(count, "gram long, df long").groupBy("gram").agg(F.sum("df").alias("df")).collect()
     frequency = np.zeros(len(index.keys), np.int64)
     for gram, df in rows:  # at most one row an n-gram of the block
         frequency[gram] = df
@@ -209,7 +210,7 @@ def contaminated(docs: DataFrame, items: DataFrame, least: float = 0.4, n: int =
     out = None
     for index in _blocks(items, block_items, n, item_id, item_text):
         seeded(docs, index, text_col)
-        part = docs.select(F.col(id_col), aligned(index, docs, F.col(text_col), least).alias("h")).select(id_col, F.inline("h"))
+        part = spread(docs.select(F.col(id_col), F.col(text_col).alias("_text"))).select(id_col, aligned(index, docs, F.col("_text"), least).alias("h")).select(id_col, F.inline("h"))
         out = part if out is None else out.unionByName(part)
     return out
 

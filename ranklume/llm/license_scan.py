@@ -25,6 +25,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import spread
+
 # The phrases of the base labels.
 BASE_PHRASES = (
     ("cc-by", "cc by"),
@@ -80,8 +82,8 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = docs.sparkSession
     table = F.broadcast(_values(spark, template_pairs(base, notices)))
     # lower() also maps letters outside ASCII; none of them turns into a separator or into a template's letter
-    words = F.filter(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), SEPARATORS), lambda w: w != "")
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), words.alias("words"))
+    words = F.filter(F.split(F.lower(F.coalesce(F.col("text"), F.lit(""))), SEPARATORS), lambda w: w != "")
+    rows = spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).select(F.monotonically_increasing_id().alias("row"), "id", words.alias("words"))
     # the count is made below the explode: above it, every exploded row would carry the words
     rows = rows.select("row", "id", F.size("words").cast("long").alias("n_words"), F.expr(f"concat(array({START}L), zip_with(words, slice(words, 2, size(words)), (a, b) -> xxhash64(a, b)))").alias("hashes"))
     hits = rows.select("row", "id", "n_words", F.posexplode("hashes").alias("at", "h")).join(table, F.col("h") == F.col("th"))

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_WORD, settled
+from .common import SPACE_WORD, settled, spread
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (3, 1, 2)
@@ -62,13 +62,15 @@ def mix(docs: DataFrame, share: float = 1.5, id_col: str = "doc_id", text_col: s
     by default :func:`quality_weight`.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    sized = docs.select(
+    needed = dict.fromkeys((id_col, source_col, text_col, key_col or id_col))
+    docs = docs.select(*needed, *([weight.alias("_weight")] if weight is not None else []))
+    sized = spread(docs).select(
         F.col(id_col).alias("id"),
         F.when(F.col(source_col).isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col(source_col))).alias("sk"),
         F.regexp_count(text, F.lit(SPACE_WORD)).cast("long").alias("size"),
         F.char_length(text).alias("n"),
         F.conv(F.substring(F.md5(F.concat(F.lit(seed + "|"), F.coalesce(F.col(key_col or id_col).cast("string"), F.lit(""))).cast("binary")), 1, 13), 16, 10).cast("long").alias("u"),
-        *([weight.cast("double").alias("w0")] if weight is not None else []),
+        *([F.col("_weight").cast("double").alias("w0")] if weight is not None else []),
     )
     w = F.col("w0") if weight is not None else quality_weight(F.col("n"), F.col("size"))
     keyed = sized.withColumn("e", -F.log((F.col("u") + 0.5) / TWO52) / w)

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..shipping import ship
-from .common import hash_sample, settled
+from .common import hash_sample, settled, spread
 
 _CLASS = np.zeros(256, dtype=np.int64)  # 0: anything else
 for _k, _chars in enumerate((b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t\r\x0b\x0c", b"\n", b".,;:'\"-()", b"!?", b"#$%&*+=@^~`_", b"|<>[]{}\\/"), 1):
@@ -154,7 +154,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, id_col: st
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~is_held_out(id_col))
     known = settled(known.groupBy(F.col(id_col).alias("k")).agg(F.max(label_col).cast("double").alias("y")))
     known = hash_sample(known, known.count(), max_rows, "k")
-    rows = docs.select(F.col(id_col).alias("k"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).join(F.broadcast(known), "k")
+    rows = spread(docs.select(id_col, text_col)).select(F.col(id_col).alias("k"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).join(F.broadcast(known), "k")
     made = rows.select("k", "y", statistics_udf("t").alias("x")).groupBy("k", "y").agg(F.min("x").alias("x")).orderBy("k").collect()
     return fit(np.array([r["x"] for r in made], float).reshape(-1, len(STATISTICS)), np.array([r["y"] for r in made]), **options)
 
@@ -169,4 +169,4 @@ def score(docs: DataFrame, trees: Trees, text_col: str = "text", score_col: str
         x = np.array([statistics(t) for t in text], float).reshape(-1, len(STATISTICS))
         return pd.Series(shared.value.scores(x), dtype="float64")
 
-    return docs.withColumn(score_col, scored(F.col(text_col)))
+    return spread(docs).withColumn(score_col, scored(F.col(text_col)))

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..shipping import ship
-from .common import hash_sample, settled
+from .common import hash_sample, settled, spread
 from .components import components, local_roots
 
 CHUNK = 1 << 15
@@ -222,7 +222,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     apart where names are null.
     """
     ship(docs.sparkSession)
-    rows = settled(docs.select(F.col(id_col).alias("id"), F.col(name_col or id_col).alias("name"), fingerprint_udf(F.col(text_col)).alias("fp")))
+    rows = spread(docs.select(F.col(id_col).alias("id"), F.col(name_col or id_col).alias("name"), F.col(text_col).alias("text")))
+    rows = settled(rows.select("id", "name", fingerprint_udf("text").alias("fp")))
     classes = settled(rows.groupBy("fp").agg(F.min("name").alias("rep")))
     found = components(link(classes.select("fp"), radius, **options))
     rooted = settled(classes.join(found.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root")))

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..shipping import ship
-from .common import settled, stored
+from .common import settled, spread, stored
 
 GRAM = 64
 SHALLOW = 24
@@ -417,7 +417,7 @@ def repeated(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_co
     base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 62))).alias("doc"), F.xxhash64(text).alias("th"), text.alias("raw"))
     sample, schema = _sample(length)
     assert 2 * GRAM <= length < 1000, "offsets are packed into ten bits"
-    found = stored(base.where(F.octet_length("raw") >= length).mapInArrow(sample, schema))
+    found = stored(spread(base.where(F.octet_length("raw") >= length)).mapInArrow(sample, schema))
 
     # k-grams that occur once are gone after this join; what follows is about the repeated part only
     often = settled(found.groupBy("gram").agg(F.count("*").alias("g")).where("g > 1").select("gram"))
