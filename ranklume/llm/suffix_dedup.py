@@ -47,6 +47,7 @@ from .common import settled, spread, stored
 GRAM = 64
 SHALLOW = 24
 SAMPLED_BYTES = 1 << 20  # of texts that are sampled together
+HEAVY, MAX_HEAVY = 10_000, 100_000  # places from which on a context is heavy; how many contexts can be
 CROWD = 64  # different contexts of a k-gram from which on it is split
 DENSITY = np.uint64(1 << 60)  # hashes below this, 1 in 16, are looked at first
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
@@ -423,10 +424,16 @@ def repeated(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_co
     often = settled(found.groupBy("gram").agg(F.count("*").alias("g")).where("g > 1").select("gram"))
     shared = stored(found.join(often, "gram"))
     ctx = settled(shared.groupBy("gram", "ctx").agg(F.count("*").alias("n"), F.min("doc").alias("one")))
-    whole = shared.join(ctx.where("n > 1").select("gram", "ctx"), ["gram", "ctx"]).select("doc", "th", F.expr("shiftright(span, 20)").alias("lo"), F.expr("shiftright(span, 20) + (shiftright(span, 10) & 1023)").alias("hi"))
+    # contexts with very many places (at most shared / bound of them) are joined by broadcast and never shuffled
+    bound = max(HEAVY, shared.count() // MAX_HEAVY)
+    again = ctx.where("n > 1").select("gram", "ctx", "n")
+    heavy = F.broadcast(again.where(F.col("n") > bound).select("gram", "ctx"))
+    light = again.where(F.col("n") <= bound).select("gram", "ctx")
+    places = shared.join(heavy, ["gram", "ctx"], "left_anti").join(light, ["gram", "ctx"]).unionByName(shared.join(heavy, ["gram", "ctx"]))
+    whole = places.select("doc", "th", F.expr("shiftright(span, 20)").alias("lo"), F.expr("shiftright(span, 20) + (shiftright(span, 10) & 1023)").alias("hi"))
     mixed = settled(ctx.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1"))
-    wanted = ctx.join(mixed, "gram").select("gram", "ctx", "n", "one", "m")
-    wanted = shared.join(wanted, ["gram", "ctx"]).where("doc = one").select("doc", "th", F.struct("gram", "span", "n", "m").alias("s"))
+    wanted = ctx.join(mixed, "gram").select("gram", "ctx", "n", F.col("one").alias("doc"), "m")
+    wanted = shared.join(wanted, ["gram", "ctx", "doc"]).select("doc", "th", F.struct("gram", "span", "n", "m").alias("s"))
     wanted = settled(wanted.groupBy("doc", "th").agg(F.collect_list("s").alias("spans")))
     travelling = base.where(F.octet_length("raw") >= length).select("doc", "th", packed("raw").alias("z"))
     pieces = travelling.join(wanted.hint("shuffle_hash"), ["doc", "th"]).select("doc", "th", "z", "spans").mapInArrow(_cut_contexts(length), "doc long, th long, key long, lo long, off long, n long, bytes binary")
