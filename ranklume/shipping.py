@@ -8,11 +8,14 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+#: Arrow batches to Python workers: long texts come in smaller ones than the default of 64 MB.
+BATCH_BYTES = "8m"
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Adds the package's files to the session's Python files, once for each application."""
+    """Adds the package's files to the session's Python files, once for each application, and bounds Arrow batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return
