@@ -47,7 +47,7 @@ from .common import settled, spread, stored
 GRAM = 64
 SHALLOW = 24
 SAMPLED_BYTES = 1 << 20  # of texts that are sampled together
-HEAVY, MAX_HEAVY = 10_000, 100_000  # places from which on a context is heavy; how many contexts can be
+HEAVY, MAX_HEAVY = 200, 100_000  # places from which on a context is heavy; how many contexts can be
 CROWD = 64  # different contexts of a k-gram from which on it is split
 DENSITY = np.uint64(1 << 60)  # hashes below this, 1 in 16, are looked at first
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
