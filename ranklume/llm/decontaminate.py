@@ -1,11 +1,9 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Test items are cut into lower-case words and word n-grams.  The document
-frequency of every item n-gram is counted over the whole corpus; an item's seeds
-are its rarer half of n-grams, so a leak that is itself frequent still has
-seeds.  Seeds join documents to items; around the seeds, the document's words
-are aligned to the item by Smith-Waterman (local, linear gaps), and the score is
-the share of the item's best possible one.
+Test items are cut into lower-case words and word n-grams.  Every n-gram of an
+item is a seed, however frequent it is.  Seeds join documents to items; around
+the seeds, the document's words are aligned to the item by Smith-Waterman
+(local, linear gaps), and the score is the share of the item's best possible one.
 
 The items are the stated query set: they are taken in blocks of at most
 ``block_items`` (which bounds what is broadcast), each block against all
@@ -85,9 +83,7 @@ class Index:
         order = np.argsort(gram, kind="stable")
         self.owner = (np.concatenate(owners) if owners else flat)[order]
         self.position = (np.concatenate(positions) if positions else flat)[order]
-        self.gram = gram[order]
-        self.first = np.searchsorted(self.gram, np.arange(len(self.keys) + 1))
-        self.seed = np.ones(len(self.gram), bool)
+        self.first = np.searchsorted(gram[order], np.arange(len(self.keys) + 1))
 
     def grams(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions and hashes of the n-grams whose words are all known."""
@@ -114,14 +110,6 @@ class Index:
         hit = self.keys[g] == key
         return ids, at[hit], g[hit]
 
-    def keep_rare(self, frequency: np.ndarray) -> None:
-        """An item's seeds are its n-grams up to its own median document frequency."""
-        f = frequency[self.gram]
-        for k in range(len(self.items)):
-            own = self.owner == k
-            if own.any():
-                self.seed[own] = f[own] <= np.median(f[own])
-
     def align(self, text: str | None, least: float) -> list[tuple[int, float, int, int]]:
         """``(item id, score, first word, last word)`` of every item that scores ``least`` or more in the text."""
         ids, at, g = self.found(text)
@@ -130,8 +118,6 @@ class Index:
         lengths = self.first[g + 1] - self.first[g]
         post = np.repeat(self.first[g] - np.concatenate(([0], np.cumsum(lengths)[:-1])), lengths) + np.arange(lengths.sum())
         at = np.repeat(at, lengths)
-        use = self.seed[post]
-        post, at = post[use], at[use]
         out = []
         order = np.lexsort((at, self.owner[post]))
         owner, lead = self.owner[post][order], (at - self.position[post])[order]
@@ -167,35 +153,9 @@ def _blocks(items: DataFrame, block_items: int, n: int, item_id: str, item_text:
         yield Index(sorted(((r[0], r[1]) for r in block.select(item_id, item_text).collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1] or "")), n)
 
 
-def seeded(docs: DataFrame, index: Index, text_col: str = "text") -> Index:
-    """The index with seeds chosen by document frequencies over all of ``docs``."""
-    ship(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(index)
-
-    def count(batches):
-        total = np.zeros(len(shared.value.keys), np.int64)
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                total[np.unique(shared.value.found(text)[2])] += 1
-        seen = np.flatnonzero(total)
-        yield from pd_batches(seen, total[seen])
-
-    rows = spread(docs.select(F.col(text_col).cast("string").alias("t"))).mapInArrow(count, "gram long, df long").groupBy("gram").agg(F.sum("df").alias("df")).collect()
-    frequency = np.zeros(len(index.keys), np.int64)
-    for gram, df in rows:  # at most one row an n-gram of the block
-        frequency[gram] = df
-    index.keep_rare(frequency)
-    return index
-
-
-def pd_batches(gram: np.ndarray, df: np.ndarray):
-    import pyarrow as pa
-
-    yield pa.RecordBatch.from_arrays([pa.array(gram, pa.int64()), pa.array(df, pa.int64())], names=["gram", "df"])
-
-
 def aligned(index: Index, docs: DataFrame, text: F.Column, least: float) -> F.Column:
     """An array of hits for each row of ``docs``."""
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
     @F.pandas_udf(HIT)
@@ -209,7 +169,6 @@ def contaminated(docs: DataFrame, items: DataFrame, least: float = 0.4, n: int =
     """``id, item_id, score, first_word, last_word`` of every document and item that align with ``least`` or more."""
     out = None
     for index in _blocks(items, block_items, n, item_id, item_text):
-        seeded(docs, index, text_col)
         part = spread(docs.select(F.col(id_col), F.col(text_col).alias("_text"))).select(id_col, aligned(index, docs, F.col("_text"), least).alias("h")).select(id_col, F.inline("h"))
         out = part if out is None else out.unionByName(part)
     return out
@@ -219,6 +178,5 @@ def clean(docs: DataFrame, items: DataFrame, least: float = 0.4, n: int = 3, tex
     """The rows of ``docs`` that align with no item."""
     kept = docs
     for index in _blocks(items, block_items, n, item_id, item_text):
-        seeded(docs, index, text_col)
         kept = kept.where(F.size(aligned(index, docs, F.col(text_col), least)) == 0)
     return kept

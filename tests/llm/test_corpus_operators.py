@@ -265,6 +265,13 @@ def test_decontamination_finds_edited_copies_only(spark):
     assert {r["doc_id"] for r in kept.collect()} == {i for i in range(120) if i % 10}
 
 
+def test_decontamination_of_copies_that_lost_most_ngrams():
+    words = [f"w{i}" for i in range(20)]
+    copy = ["edited" if i % 5 == 4 else w for i, w in enumerate(words)]  # 8 of 18 3-grams are left
+    index = decontaminate.Index([(7, " ".join(words))])
+    assert index.align(" ".join(copy), 0.4) == [(7, 0.725, 0, 18)]
+
+
 def test_decontamination_odd_rows(spark, odd, empty):
     items = spark.createDataFrame([(1, None), (2, ""), (3, "two words"), (4, "one two three four"), (4, "one two three four")], "item_id long, text string")
     assert {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(odd, items).collect()} == {(4, 4), (5, 4)}
