@@ -1,16 +1,19 @@
-"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: bounds on the alignment score, then Smith-Waterman.
 
-Test items are cut into lower-case words and word n-grams.  Every n-gram of an
-item is a seed, however frequent it is.  Seeds join documents to items; around
-the seeds, the document's words are aligned to the item by Smith-Waterman
-(local, linear gaps), and the score is the share of the item's best possible one.
+Texts are cut into lower-case words.  A document matches an item if their
+Smith-Waterman alignment (local, linear gaps) reaches the share ``least`` of the
+item's best possible score, and the score of ``n`` words in a row.  Two bounds that
+no alignment exceeds pick the items worth aligning, so none that reaches both is
+missed: the item's words that occur in the document at all, and the best run of the
+document if each of its words counted as matched that occurs in the item at all.
+The alignment is made over the words that such runs can span.
 
 The items are the stated query set: they are taken in blocks of at most
 ``block_items`` (which bounds what is broadcast), each block against all
 documents.
 
-Nulls: null texts are empty; items without ``n`` words have no seeds and match
-nothing; null ids are returned as null.  Repeated documents or items are
+Nulls: null texts are empty; items without ``n`` words match nothing; null ids
+are returned as null.  Repeated documents or items are
 reported each.  Empty tables: no rows.
 """
 
@@ -66,82 +69,53 @@ def smith_waterman(item: np.ndarray, doc: np.ndarray) -> tuple[int, int, int]:
 
 
 class Index:
-    """Seeds of a block of items."""
+    """Words of a block of items, and the items that each word occurs in."""
 
     def __init__(self, items: list[tuple[int, str]], n: int = 3):
         self.n, self.ids = n, [i for i, _ in items]
         texts = [words_of(t) for _, t in items]
         self.vocabulary = {w: k for k, w in enumerate(sorted({w for t in texts for w in t}))}
-        self.base = len(self.vocabulary) + 1
         self.items = [np.array([self.vocabulary[w] for w in t], np.int64) for t in texts]
-        owners, positions, grams = [], [], []
-        for k, words in enumerate(self.items):
-            g = self.grams(words)[1]
-            grams.append(g), owners.append(np.full(len(g), k)), positions.append(np.arange(len(g)))
-        flat = np.concatenate(grams) if grams else np.zeros(0, np.int64)
-        self.keys, gram = np.unique(flat, return_inverse=True)
-        order = np.argsort(gram, kind="stable")
-        self.owner = (np.concatenate(owners) if owners else flat)[order]
-        self.position = (np.concatenate(positions) if positions else flat)[order]
-        self.first = np.searchsorted(gram[order], np.arange(len(self.keys) + 1))
-
-    def grams(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and hashes of the n-grams whose words are all known."""
-        m = len(words) - self.n + 1
-        if m <= 0:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        known = words >= 0
-        ok = np.logical_and.reduce([known[i : i + m] for i in range(self.n)])
-        at = np.flatnonzero(ok)
-        key = np.zeros(len(at), np.int64)
-        with np.errstate(over="ignore"):
-            for i in range(self.n):
-                key = key * np.int64(self.base) + words[at + i]
-        return at, key
-
-    def found(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Word numbers of a document, and the positions and numbers of the item n-grams in it."""
+        self.sizes = np.array([len(t) for t in texts], np.int64)
+        flat = np.concatenate(self.items) if self.items else np.zeros(0, np.int64)
+        count = max(1, len(items))
+        pairs, self.times = np.unique(flat * count + np.repeat(np.arange(len(items)), self.sizes), return_counts=True)
+        self.owner = pairs % count
+        self.first = np.searchsorted(pairs // count, np.arange(len(self.vocabulary) + 1))
+
+    def words(self, text: str | None) -> np.ndarray:
+        """The numbers of a document's words; -1 stands for words of no item."""
         words = words_of(text)
-        ids = np.fromiter(map(self.vocabulary.get, words, repeat(-1)), np.int64, len(words))
-        at, key = self.grams(ids)
-        if not len(at) or not len(self.keys):
-            return ids, at[:0], at[:0]
-        g = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        hit = self.keys[g] == key
-        return ids, at[hit], g[hit]
+        return np.fromiter(map(self.vocabulary.get, words, repeat(-1)), np.int64, len(words))
+
+    def shared(self, ids: np.ndarray) -> np.ndarray:
+        """How many words of each item occur in the document."""
+        seen = np.unique(ids)
+        seen = seen[seen >= 0]
+        lengths = self.first[seen + 1] - self.first[seen]
+        post = np.repeat(self.first[seen] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+        return np.bincount(self.owner[post], weights=self.times[post], minlength=len(self.items))
 
     def align(self, text: str | None, least: float) -> list[tuple[int, float, int, int]]:
         """``(item id, score, first word, last word)`` of every item that scores ``least`` or more in the text."""
-        ids, at, g = self.found(text)
-        if not len(at):
-            return []
-        lengths = self.first[g + 1] - self.first[g]
-        post = np.repeat(self.first[g] - np.concatenate(([0], np.cumsum(lengths)[:-1])), lengths) + np.arange(lengths.sum())
-        at = np.repeat(at, lengths)
+        ids = self.words(text)
+        needed = np.maximum(np.ceil(least * MATCH * self.sizes - 1e-6), MATCH * self.n)
+        own = np.zeros(len(self.vocabulary) + 1, bool)  # the last one is for words of no item
         out = []
-        order = np.lexsort((at, self.owner[post]))
-        owner, lead = self.owner[post][order], (at - self.position[post])[order]
-        for s, e in zip(*(lambda c: (np.concatenate(([0], c)), np.concatenate((c, [len(owner)]))))(np.flatnonzero(np.diff(owner)) + 1)) if len(owner) else ():
-            k = owner[s]
+        for k in np.flatnonzero(MATCH * self.shared(ids) >= needed):
             item = self.items[k]
-            size = len(item)
-            slack = size // 2 + 2
-            if size >= 12 and e - s < 2:
+            own[item] = True
+            run = np.concatenate(([0], np.cumsum(np.where(own[ids], MATCH, max(MISMATCH, GAP)))))
+            own[item] = False
+            ends = run[1:] - np.minimum.accumulate(run[:-1]) >= needed[k]
+            if not ends.any():
                 continue
-            # windows of nearby diagonals
-            starts = np.sort(lead[s:e])
-            cut = np.flatnonzero(np.diff(starts) > slack) + 1
-            best = None
-            for part in np.split(starts, cut):
-                if size >= 12 and len(part) < 2:
-                    continue
-                lo, hi = max(0, int(part[0]) - slack), min(len(ids), int(part[-1]) + size + slack)
-                got, a, b = smith_waterman(item, ids[lo:hi])
-                score = got / (MATCH * size)
-                if score >= least and (best is None or score > best[1]):
-                    best = (self.ids[k], score, lo + a, lo + b)
-            if best:
-                out.append(best)
+            starts = np.maximum.accumulate(run[:0:-1])[::-1] - run[:-1] >= needed[k]
+            lo, hi = int(starts.argmax()), len(ids) - int(ends[::-1].argmax())
+            got, a, b = smith_waterman(item, ids[lo:hi])
+            score = got / (MATCH * len(item))
+            if got >= MATCH * self.n and score >= least:
+                out.append((self.ids[k], score, lo + a, lo + b))
         return out
 
 

@@ -272,6 +272,38 @@ def test_decontamination_of_copies_that_lost_most_ngrams():
     assert index.align(" ".join(copy), 0.4) == [(7, 0.725, 0, 18)]
 
 
+@pytest.mark.parametrize("share", [0.2, 0.3, 0.4])
+def test_decontamination_matches_alignment_of_everything(share):
+    rng = random.Random(int(share * 10))
+    vocabulary = [f"v{i}" for i in range(150)] + ["the", "of"] * 20
+    items = [(k, " ".join(rng.choices(vocabulary, k=rng.randrange(3, 40)))) for k in range(12)]
+    index = decontaminate.Index(items)
+    found = 0
+    for i in range(120):
+        copy = items[i % 12][1].split()
+        for at in sorted(rng.sample(range(len(copy)), round(share * len(copy))), reverse=True):
+            copy[at : at + 1] = rng.choice([[], ["edited"], [copy[at], "edited"]])
+        words = rng.choices(vocabulary, k=rng.randrange(60))
+        words[len(words) // 2 : len(words) // 2] = copy
+        ids = np.array([index.vocabulary.get(w.encode(), -1) for w in words], int)
+        best = [brute.smith_waterman(item, ids) for item in index.items]
+        want = {k: g / (2 * len(t)) for k, (g, t) in enumerate(zip(best, index.items)) if g >= 6 and g / (2 * len(t)) >= 0.4}
+        assert {k: s for k, s, _, _ in index.align(" ".join(words), 0.4)} == want
+        found += i % 12 in want
+    assert found > 60
+
+
+def test_decontamination_of_one_surviving_ngram_and_none():
+    words = [f"w{i}" for i in range(20)]
+    one = [w if i < 3 or i % 3 else "edited" for i, w in enumerate(words)]
+    none = [w if i % 3 else "edited" for i, w in enumerate(words)]
+    index = decontaminate.Index([(7, " ".join(words))])
+    for copy in (one, none):
+        ids = np.array([index.vocabulary.get(w.encode(), -1) for w in copy], int)
+        score = brute.smith_waterman(index.items[0], ids) / 40
+        assert score >= 0.4 and [(i, s) for i, s, _, _ in index.align(" ".join(copy), 0.4)] == [(7, score)]
+
+
 def test_decontamination_odd_rows(spark, odd, empty):
     items = spark.createDataFrame([(1, None), (2, ""), (3, "two words"), (4, "one two three four"), (4, "one two three four")], "item_id long, text string")
     assert {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(odd, items).collect()} == {(4, 4), (5, 4)}
