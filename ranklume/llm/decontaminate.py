@@ -1,6 +1,6 @@
 """Benchmark decontamination: bounds on the alignment score, then Smith-Waterman.
 
-Texts are cut into lower-case words.  A document matches an item if their
+Texts are cut into words, with case folded over Unicode.  A document matches an item if their
 Smith-Waterman alignment (local, linear gaps) reaches the share ``least`` of the
 item's best possible score, and the score of ``n`` words in a row.  Two bounds that
 no alignment exceeds pick the items worth aligning, so none that reaches both is
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import repeat
+from unicodedata import normalize
 
 import numpy as np
 import pandas as pd
@@ -36,8 +37,11 @@ HIT = "array<struct<item_id: long, score: double, first_word: long, last_word: l
 
 
 def words_of(text: str | None) -> list[bytes]:
-    """Lower-case words of ASCII letters, digits and anything outside ASCII."""
-    return (text or "").encode("utf-8", "surrogatepass").translate(_FOLD).split()
+    """Words of ASCII letters, digits and anything outside ASCII, composed (NFC) and case-folded over Unicode."""
+    text = text or ""
+    if not text.isascii():
+        text = normalize("NFC", normalize("NFC", text).casefold())
+    return text.encode("utf-8", "surrogatepass").translate(_FOLD).split()
 
 
 def smith_waterman(item: np.ndarray, doc: np.ndarray) -> tuple[int, int, int]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import unicodedata
 
 import numpy as np
 import pytest
@@ -304,6 +305,15 @@ def test_decontamination_of_one_surviving_ngram_and_none():
         assert score >= 0.4 and [(i, s) for i, s, _, _ in index.align(" ".join(copy), 0.4)] == [(7, score)]
 
 
+@pytest.mark.parametrize("item", ["Être à l'école où l'été naît déjà", "Все люди рождаются свободными и равными", "Όλοι οι άνθρωποι γεννιούνται ελεύθεροι λόγος"])
+def test_decontamination_folds_case_over_unicode(item):
+    index = decontaminate.Index([(7, item)])
+    for copy in (item.upper(), item.lower(), unicodedata.normalize("NFD", item.upper())):
+        assert [h[:2] for h in index.align(copy, 0.4)] == [(7, 1.0)]
+        assert [h[:2] for h in decontaminate.Index([(7, copy)]).align(item, 0.4)] == [(7, 1.0)]
+    assert decontaminate.words_of("STRASSE Straße \udc80") == [b"strasse", b"strasse", b"\xed\xb2\x80"]
+
+
 def test_decontamination_odd_rows(spark, odd, empty):
     items = spark.createDataFrame([(1, None), (2, ""), (3, "two words"), (4, "one two three four"), (4, "one two three four")], "item_id long, text string")
     assert {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(odd, items).collect()} == {(4, 4), (5, 4)}
