@@ -9,7 +9,9 @@ inserted or dropped) are merged; a span is verified by the share of template pos
 each by a 64-bit hash of its own words.
 
 Base phrases are templates that must be covered fully on one diagonal.  Notices
-are labelled from ``min_cover`` on.
+are labelled from ``min_cover`` of all their pairs on, if the pairs that name the
+license (``NAMES``) are among those covered.  ``score`` is the share of the pairs
+of :func:`template_pairs` only, as in the query's SQL.
 
 The template table has a few hundred rows fixed in this module, so it is
 broadcast.  The exploded word pairs are never shuffled: the join and the partial
@@ -50,6 +52,17 @@ NOTICES = (
     ("unlicense", "this is free and unencumbered software released into the public domain"),
 )
 
+# The pairs that tell a notice from those of neighbouring licenses.
+# lgpl has none: the query's SQL gives its label to notices of the GPL as well.
+NAMES = {
+    "apache-2.0": ("apache license",),
+    "cc-by-nc": ("by nc", "nc 4"),
+    "cc-by-sa": ("attribution sharealike",),
+    "gpl-3.0": ("gnu general",),
+    "mit": ("mit license",),
+    "mpl-2.0": ("mozilla public",),
+}
+
 #: Separators of words, after lower-casing, as a Java pattern.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The hash of a virtual pair before each document's first word, so that every document has a hit.
@@ -66,12 +79,17 @@ def template_pairs(base=BASE_PHRASES, notices=NOTICES) -> list[tuple[int, bool,
     return out
 
 
-def _values(spark: SparkSession, pairs) -> DataFrame:
-    full: dict[int, int] = {}
-    for t, _, _, i, _ in pairs:
-        full[t] = full.get(t, 0) | 1 << i
-    rows = ",".join(f"({t}, {str(b).lower()}, '{label}', {i}, {full[t]}L, xxhash64('{pair.split()[0]}', '{pair.split()[1]}'))" for t, b, label, i, pair in pairs)
-    return spark.sql(f"select * from values {rows}, (-1, false, '', 0, 1L, {START}L) as v(tid, is_base, label, tpos, tfull, th)")
+def _values(spark: SparkSession, base, notices) -> DataFrame:
+    """All pairs of the templates; ``tfull``, ``tscored`` and ``tname`` are bit sets of their positions."""
+    scored = {(t, i) for t, _, _, i, _ in template_pairs(base, notices)}
+    rows = []
+    for t, (is_base, label, words) in enumerate([(True, *x) for x in base] + [(False, *x) for x in notices]):
+        w = words.split()
+        pairs = list(enumerate(zip(w, w[1:])))
+        bits = lambda on: sum(1 << i for i, pair in pairs if on(i, " ".join(pair)))
+        full, seen, name = bits(lambda i, p: True), bits(lambda i, p: (t, i) in scored), bits(lambda i, p: not is_base and p in NAMES.get(label, ()))
+        rows += [f"({t}, {str(is_base).lower()}, '{label}', {i}, {full}L, {seen}L, {name}L, xxhash64('{a}', '{b}'))" for i, (a, b) in pairs]
+    return spark.sql(f"select * from values {','.join(rows)}, (-1, false, '', 0, 1L, 1L, 0L, {START}L) as v(tid, is_base, label, tpos, tfull, tscored, tname, th)")
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base=BASE_PHRASES, notices=NOTICES, gap: int = 2, min_cover: float = 0.6) -> DataFrame:
@@ -80,7 +98,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ``spans`` lists ``(label, first word, last word, cover)`` of every match.
     """
     spark = docs.sparkSession
-    table = F.broadcast(_values(spark, template_pairs(base, notices)))
+    table = F.broadcast(_values(spark, base, notices))
     # lower() also maps letters outside ASCII; none of them turns into a separator or into a template's letter
     words = F.filter(F.split(F.lower(F.coalesce(F.col("text"), F.lit(""))), SEPARATORS), lambda w: w != "")
     rows = spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).select(F.monotonically_increasing_id().alias("row"), "id", words.alias("words"))
@@ -88,15 +106,17 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = rows.select("row", "id", F.size("words").cast("long").alias("n_words"), F.expr(f"concat(array({START}L), zip_with(words, slice(words, 2, size(words)), (a, b) -> xxhash64(a, b)))").alias("hashes"))
     hits = rows.select("row", "id", "n_words", F.posexplode("hashes").alias("at", "h")).join(table, F.col("h") == F.col("th"))
     doc = ["row", "id", "n_words"]
-    diagonals = hits.groupBy(*doc, "tid", "is_base", "label", "tfull", (F.col("at") - 1 - F.col("tpos")).cast("long").alias("diag")).agg(F.bit_or(F.expr("shiftleft(1L, tpos)")).alias("mask"))
+    diagonals = hits.groupBy(*doc, "tid", "is_base", "label", "tfull", "tscored", "tname", (F.col("at") - 1 - F.col("tpos")).cast("long").alias("diag")).agg(F.bit_or(F.expr("shiftleft(1L, tpos)")).alias("mask"))
 
     # neighbouring diagonals of notices become one span; a base phrase stands on one diagonal
     walk = Window.partitionBy("row", "tid").orderBy("diag")
     apart = F.col("is_base") | F.coalesce(F.col("diag") - F.lag("diag").over(walk) > gap, F.lit(True))
     groups = diagonals.withColumn("grp", F.sum(apart.cast("int")).over(walk.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = groups.groupBy(*doc, "tid", "is_base", "label", "tfull", "grp").agg(F.bit_or("mask").alias("mask"), F.min("diag").alias("lo"), F.max("diag").alias("hi"))
-    cover = F.bit_count("mask") / F.bit_count("tfull")
-    spans = spans.withColumn("cover", cover).withColumn("ok", (F.col("tid") >= 0) & F.when(F.col("is_base"), F.col("mask") == F.col("tfull")).otherwise(F.col("cover") >= min_cover))
+    spans = groups.groupBy(*doc, "tid", "is_base", "label", "tfull", "tscored", "tname", "grp").agg(F.bit_or("mask").alias("mask"), F.min("diag").alias("lo"), F.max("diag").alias("hi"))
+    spans = spans.withColumn("cover", F.bit_count("mask") / F.bit_count("tfull"))
+    spans = spans.withColumn("scored", F.coalesce(F.try_divide(F.bit_count(F.col("mask").bitwiseAND(F.col("tscored"))), F.bit_count("tscored")), F.lit(0.0)))
+    named = F.col("mask").bitwiseAND(F.col("tname")) == F.col("tname")
+    spans = spans.withColumn("ok", (F.col("tid") >= 0) & F.when(F.col("is_base"), F.col("mask") == F.col("tfull")).otherwise((F.col("cover") >= min_cover) & named))
     is_base = F.col("ok") & F.col("is_base")
     last = F.col("hi") + F.length(F.conv(F.col("mask").cast("string"), 10, 2))
     labels = lambda on: F.array_join(F.array_sort(F.collect_set(F.when(on, F.col("label")))), ",")
@@ -106,6 +126,6 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.max(F.when(is_base, F.col("lo"))).alias("last_word"),
         labels(is_base).alias("base_labels"),
         labels(F.col("ok")).alias("labels"),
-        F.coalesce(F.max(F.when(F.col("ok") | (F.col("tid") >= 0) & ~F.col("is_base"), F.col("cover"))), F.lit(0.0)).alias("score"),
+        F.coalesce(F.max(F.when(F.col("ok") | (F.col("tid") >= 0) & ~F.col("is_base"), F.col("scored"))), F.lit(0.0)).alias("score"),
         F.array_sort(F.collect_list(F.when(F.col("ok"), F.struct("label", F.col("lo").alias("first_word"), last.alias("last_word"), "cover")))).alias("spans"),
     ).drop("row").withColumnRenamed("id", id_col)

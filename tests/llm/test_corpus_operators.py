@@ -203,6 +203,27 @@ def test_license_scan_merges_neighbouring_diagonals(spark):
     assert span["label"] == "mit" and span["first_word"] >= 0 and 0.6 <= span["cover"] < 1
 
 
+@pytest.mark.parametrize(
+    "text, labels",
+    [
+        ("licensed under CC BY 4.0", ""),
+        ("licensed under CC BY-SA 4.0", ""),
+        ("licensed under CC BY-NC-SA 4.0", ""),
+        ("licensed under CC BY-NC 4.0", "cc-by-nc"),
+        ("This page: CC BY-NC 4.0", "cc-by-nc"),
+        ("released under the Apache license", ""),
+        ("released under the MIT license", "mit"),
+        ("licensed under the Mozilla license, version 2.0", ""),
+        ("licensed under the Apache License, Version 2.0", "apache-2.0"),
+        ("licensed under Creative Commons Attribution-NonCommercial 4.0 International", ""),
+        ("licensed under Creative Commons Attribution-ShareAlike 4.0 International", "cc-by-sa"),
+    ],
+)
+def test_license_scan_tells_neighbouring_licenses_apart(spark, text, labels):
+    (r,) = license_scan.license_scan(spark.createDataFrame([(1, text)], "doc_id long, text string"), base=()).collect()
+    assert r["labels"] == labels and [x["label"] for x in r["spans"]] == [x for x in labels.split(",") if x]
+
+
 # -- 1 quality -------------------------------------------------------------
 
 
