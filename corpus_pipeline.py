@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ranklume.llm import decontaminate, mixing, quality, sharding, simhash
-from ranklume.llm.common import new_shared_path
+from ranklume.llm.common import new_shared_path, stored
 from ranklume.llm.queries import QUALITY_BOUND, table
 
 
@@ -25,11 +25,11 @@ def free_name(docs: DataFrame, name: str) -> str:
 def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
     """Rows with a number, and the name of its column.
 
-    Over a file scan, which is what a stage gets, the number of a row is the
-    same each time it is read.
+    They are stored, so that the number of a row is the same each time it is
+    read: how a scan is split can change between two plans.
     """
     name = free_name(docs, "_row")
-    return docs.withColumn(name, F.monotonically_increasing_id()), name
+    return stored(docs.withColumn(name, F.monotonically_increasing_id())), name
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -85,6 +85,20 @@ def test_pipeline_stages(spark, sf_dir, tmp_path):
     assert set(corpus_pipeline.run(spark, sf_dir).columns) == set(docs.columns)
 
 
+def test_row_numbers_outlive_another_split_of_the_files(spark, tmp_path):
+    spark.range(4000).selectExpr("id as doc_id", "repeat(md5(string(id)), 9) as text").coalesce(1).write.option("parquet.block.size", 100_000).parquet(str(tmp_path / "d"))
+    rows, row = corpus_pipeline.numbered(spark.read.parquet(str(tmp_path / "d")))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    read = lambda: sorted((r["doc_id"], r[row]) for r in rows.select("doc_id", row).collect())
+    first = read()
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        rows = rows.sparkSession.createDataFrame([], rows.schema).unionByName(rows)  # planned anew
+        assert read() == first and len({n for _, n in first}) == 4000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_stages_with_null_and_repeated_ids(spark, tmp_path):
     rows = [(None, "a b c d e"), (None, "zzz yyy"), (1, "a b c d e"), (2, "q r s t u v"), (2, "other words stand here now"), (2, "q r s t u v"), (3, None), (None, "")]
     df = spark.createDataFrame([(i, t, "en", "s", 0, "x", 7) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, _row string, size int")
