@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import tempfile
-from pathlib import Path
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -267,6 +267,11 @@ def udf_minmax_normalize(spark, sf_dir):
     return shown(apply_module(module, ctx, run(parts(Pipeline()), ctx), {}), ID, "score_adjusted")
 
 
+def shared_folder(spark):
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one in local tests."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="ranklume-csv-")).rstrip("/")
+
+
 CSV_TEXT = "id,name,score\n1,apple,0.9\n2, banana ,0.8\n\n3,cherry\n4,\"quo,ted,extra\n"
 
 
@@ -274,16 +279,9 @@ CSV_TEXT = "id,name,score\n1,apple,0.9\n2, banana ,0.8\n\n3,cherry\n4,\"quo,ted,
 def csv_lookup(spark, sf_dir):
     from .sources.csv import check_resource
 
-    folder = Path(tempfile.mkdtemp())
-    rows = spark.createDataFrame([(CSV_TEXT,)], "t string")
-    local = spark.sparkContext.master.startswith("local[")
-    if local:
-        (folder / check_resource("fruit.csv")).write_text(CSV_TEXT)
-        return read_csv_frame(spark, f"file://{folder}/fruit.csv")
-    # on a cluster there is no shared local folder: the same lines as a column
-    cells = F.split(F.col("line"), ",", -1)
-    lines = rows.select(F.posexplode(F.split(F.rtrim(F.lit("\n"), F.col("t")), "\n")).alias("i", "line")).where("i > 0")
-    return lines.select(*(F.coalesce(F.trim(F.get(cells, F.lit(i))), F.lit("")).alias(c) for i, c in enumerate(("id", "name", "score"))))
+    path = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}/{check_resource('fruit.csv')}"
+    spark.createDataFrame([(CSV_TEXT.removesuffix("\n"),)], "value string").coalesce(1).write.text(path)
+    return read_csv_frame(spark, path)
 
 
 # -- plans, catalog, keys -----------------------------------------------------------------

@@ -34,6 +34,15 @@ def test_query_matches_its_sql(spark, sf_dir, con, name):
     assert plain([r.asDict() for r in df.collect()], columns) == plain([dict(zip(names, r)) for r in cursor.fetchall()], columns)
 
 
+def test_csv_lookup_reads_a_file_on_a_cluster_too(spark, sf_dir, monkeypatch):
+    import ranklume.queries as q
+
+    paths, read = [], q.read_csv_frame
+    monkeypatch.setattr(q, "read_csv_frame", lambda s, path: paths.append(path) or read(s, path))
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://elsewhere:7077")
+    assert q.csv_lookup(spark, sf_dir).count() == 5 and len(paths) == 1
+
+
 def test_entry(spark):
     df = __spark_entry__.entry(spark)
     assert df.count() > 0 and df.columns == ["cand_candidate_id", "score_ml", "score_final"]
