@@ -12,19 +12,24 @@ from pyspark.sql import functions as F
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
 #: An input with less than this for each core is small.
 SPREAD_BYTES = 4 << 20
+#: Spark's switch that removes shuffle files when the query that wrote them ends.
+CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    ``spark.checkpoint.dir`` names it; where that is unset (local tests) a
-    temporary folder is made once and set as the checkpoint folder.
+    ``spark.checkpoint.dir`` names it.  Where that is unset, a master in this very
+    process (local tests) gets a temporary folder, made once and set as the
+    checkpoint folder; on a cluster that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
+        if not sc._jsc.sc().isLocal():
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="ranklume-shared-"))
     return sc.getCheckpointDir()
 
@@ -51,6 +56,52 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables of one computation in the shared folder; those not kept are deleted at its end.
+
+    The shuffle files of a write are given back as soon as it is done.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self._spark, self._paths = spark, {}
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def stored(self, df: DataFrame) -> DataFrame:
+        """:func:`stored`, until it is dropped or the computation ends."""
+        path = new_shared_path(self._spark, "scratch")
+        out = self._written(df, path)
+        self._paths[id(out)] = (out, path)
+        return out
+
+    def kept(self, df: DataFrame) -> DataFrame:
+        """:func:`stored`, left in place for the reader of the result."""
+        return self._written(df, new_shared_path(self._spark, "stored"))
+
+    def _written(self, df: DataFrame, path: str) -> DataFrame:
+        before = self._spark.conf.get(CLEAN_SHUFFLES, "false")
+        self._spark.conf.set(CLEAN_SHUFFLES, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self._spark.conf.set(CLEAN_SHUFFLES, before)
+        return self._spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *tables: DataFrame) -> None:
+        for df in tables:
+            _, path = self._paths.pop(id(df))
+            self._delete(path)
+
+    def __exit__(self, *_) -> None:
+        self.drop(*(df for df, _ in list(self._paths.values())))
+
+    def _delete(self, path: str) -> None:
+        sc = self._spark.sparkContext
+        where = sc._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """A small input, which may be a single block of a file, dealt over the cores; any other as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism

@@ -90,6 +90,20 @@ def repeats(rows: list[tuple[int, str | None]], length: int = 400) -> dict[int,
     return out
 
 
+def passages(rows: list[tuple[int, str | None]], words: int = 51) -> dict[int, tuple[int, int]]:
+    """(n_passages, n_passage_words) of each row, by counting every window of words."""
+    split = [(i, re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t in rows]
+    count = Counter(tuple(w[s : s + words]) for _, w in split for s in range(len(w) - words + 1))
+    out = {}
+    for i, w in split:
+        gone = np.zeros(len(w) + 1, bool)
+        for s in range(len(w) - words + 1):
+            if count[tuple(w[s : s + words])] > 1:
+                gone[s : s + words] = True
+        out[i] = (int((np.diff(np.concatenate(([0], gone.astype(int)))) == 1).sum()), int(gone.sum()))
+    return out
+
+
 def vector_links(rows: list[tuple[int, list | None, int | None]], threshold: float = 0.93) -> dict[int, tuple[int, int, bool]]:
     fine = lambda v: v is not None and len(v) and all(x is not None and np.isfinite(x) for x in v) and any(v)
     groups = defaultdict(list)

@@ -457,12 +457,12 @@ def test_repeats_with_a_crowded_line(spark):
             edited[rng.randrange(len(edited))] = "#"
             parts.append("".join(edited))
         rows.append((i, " ".join(parts)))
-    got = {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r["doc_id"]: tuple(r)[1:5] for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == brute.repeats(rows) and sum(v[1] > 0 for v in got.values()) > 50
 
 
 def test_repeats_match_counting_every_window(docs):
-    got = {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.remove_repeats(docs).collect()}
+    got = {r["doc_id"]: tuple(r)[1:5] for r in suffix_dedup.remove_repeats(docs).collect()}
     assert got == brute.repeats(texts(docs))
 
 
@@ -480,8 +480,39 @@ def test_repeats_of_planted_passages(spark, odd, empty):
         rows.append((100 + i, " ".join(parts)))
     rows += [(300, passages[-1] * 2), (301, None), (302, "line of text\n" * 90), (303, "é" * 401)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.remove_repeats(df).collect()}
+    got = {r["doc_id"]: tuple(r)[1:5] for r in suffix_dedup.remove_repeats(df).collect()}
     assert got == brute.repeats(rows)
     assert suffix_dedup.remove_repeats(empty).count() == 0
     twice = suffix_dedup.remove_repeats(spark.createDataFrame([(1, word(300))] * 2 + [(None, word(120))], "doc_id long, text string"), with_kept=True).collect()
     assert sorted((r["doc_id"] or 0, r["n_removed"] == r["n_bytes"]) for r in twice) == [(0, False), (1, True), (1, True)]
+
+
+@pytest.mark.parametrize("options", [{"heavy_places": 1, "crowd": 1}, {"heavy_places": 10**6, "crowd": 10**6}, {"heavy_places": 3, "max_heavy": 1}])
+def test_bounds_of_the_suffix_operator_change_no_row(spark, options):
+    rng = random.Random(13)
+    word = lambda n: " ".join("".join(rng.choices("abcdefgh", k=rng.randrange(2, 9))) for _ in range(n))
+    line, passage = word(20), word(110)
+    rows = [(i, " ".join([word(rng.randrange(0, 50)), line, passage[: rng.randrange(300, 600)] if i % 2 else passage, word(rng.randrange(0, 50))])) for i in range(70)]
+    rows += [(100 + i, rows[i % 4][1]) for i in range(12)]
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), **options).collect()
+    assert {r["doc_id"]: tuple(r)[1:5] for r in got} == brute.repeats(rows)
+    assert {r["doc_id"]: tuple(r)[5:] for r in got} == brute.passages(rows)
+
+
+def test_passages_match_counting_every_window(docs, odd, spark):
+    rows = texts(docs) + [(10**6 + r[0], r[1]) for r in ODD]
+    got = suffix_dedup.remove_repeats(docs.select("doc_id", "text").unionByName(odd.select((F.col("doc_id") + 10**6).alias("doc_id"), "text"))).collect()
+    want = brute.passages(rows)
+    assert {r["doc_id"]: tuple(r)[5:] for r in got} == want and 0 < sum(v[0] > 0 for v in want.values()) < len(want) / 2
+
+
+def test_repeats_with_text_ids_clashing_columns_and_nothing_left_behind(spark, tmp_path, monkeypatch):
+    from ranklume.llm import common
+
+    monkeypatch.setattr(common, "shared_dir", lambda _: f"file://{tmp_path}")
+    text = " ".join(f"w{i}" for i in range(150))
+    rows = [("a", text), ("b", text + " end"), (None, None), (None, text)]
+    df = spark.createDataFrame(rows, "doc_id string, text string").withColumns({c: F.lit("x") for c in ("doc", "th", "z", "runs", "gram", "n_bytes", "raw", "id")})
+    got = suffix_dedup.remove_repeats(df)
+    assert sorted((r["doc_id"] or "", r["n_bytes"], r["n_bytes"] - r["n_removed"], r["n_passage_words"]) for r in got.collect()) == [("", 0, 0, 0), ("", len(text), 0, 150), ("a", len(text), 0, 150), ("b", len(text) + 4, 4, 150)]
+    assert len(list(tmp_path.iterdir())) == 2  # the runs of bytes and of words, which the result reads
