@@ -145,28 +145,28 @@ from v left join c on c.a = vec_id left join k on k.a = vec_id
 """
 
 
-def _op8_sql() -> str:
-    pairs = license_scan.template_pairs()
-    full: dict[int, int] = {}
-    for t, _, _, i, _ in pairs:
-        full[t] = full.get(t, 0) | 1 << i
-    rows = ", ".join(f"({t}, {str(b).lower()}, '{label}', {i}, '{pair}', {full[t]}::bigint)" for t, b, label, i, pair in pairs)
+def _op8_sql(drift: int = 4) -> str:
+    kinds = license_scan.templates()
+    pairs = ", ".join(f"({t.number}, {i}, '{t.words[i]} {t.words[i + 1]}')" for t in kinds for i in t.voting)
+    rows = ", ".join(f"({t.number}, {str(t.is_base).lower()}, '{t.label}', {len(t.voting)}, {list(t.required)}::int[])" for t in kinds)
     return rf"""
-with v(tid, is_base, label, tpos, pair, tfull) as (values {rows}),
+with k(tid, is_base, label, n_pairs, required) as (values {rows}),
+v(tid, tpos, pair) as (values {pairs}),
 d as (select row_number() over () as rid, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') as words from documents),
 g as (select rid, unnest(list_zip(words[:-2], words[2:])) as z, generate_subscripts(words[2:], 1) - 1 as pos from d where len(words) > 1),
-h as (select rid, tid, is_base, label, tfull, pos - tpos as diag, bit_or(1::bigint << tpos) as mask from g join v on g.z[1] || ' ' || g.z[2] = v.pair group by all),
-j as (select *, case when is_base or coalesce(diag - lag(diag) over (partition by rid, tid order by diag) > 2, true) then 1 else 0 end as fresh from h),
-q as (select *, sum(fresh) over (partition by rid, tid order by diag rows unbounded preceding) as grp from j),
-m as (select rid, tid, is_base, label, tfull, grp, bit_or(mask) as mask, min(diag) as lo from q group by all),
-o as (select *, bit_count(mask)::double / bit_count(tfull)::double as cover from m),
-k as (select *, case when is_base then mask = tfull else cover >= 0.6 end as ok from o)
+h as (select rid, tid, pos - tpos as diag, list(tpos) as ts, count(*) as votes from g join v on g.z[1] || ' ' || g.z[2] = v.pair group by all),
+j as (select *, coalesce(max(votes) over (partition by rid, tid order by diag range between {drift} preceding and 1 preceding), 0) as above,
+             coalesce(max(votes) over (partition by rid, tid order by diag range between 1 following and {drift} following), 0) as below_,
+             flatten(list(ts) over (partition by rid, tid order by diag range between {drift} preceding and {drift} following)) as near from h),
+m as (select rid, diag, votes, k.*, list_distinct(case when is_base then ts else near end) as ts from j join k using (tid) where is_base or (above < votes and below_ <= votes)),
+c as (select *, case when list_has_all(ts, required) and (not is_base or votes = n_pairs) then len(ts)::double / n_pairs::double else 0.0::double end as cover from m),
+o as (select *, cover >= case when is_base then 1.0::double else 0.6::double end as ok from c)
 select doc_id, len(words)::bigint as n_words, count(*) filter (ok and is_base) as n_base,
-       (min(lo) filter (ok and is_base))::bigint as first_word, (max(lo) filter (ok and is_base))::bigint as last_word,
+       (min(diag) filter (ok and is_base))::bigint as first_word, (max(diag) filter (ok and is_base))::bigint as last_word,
        coalesce(string_agg(distinct label, ',' order by label) filter (ok and is_base), '') as base_labels,
        coalesce(string_agg(distinct label, ',' order by label) filter (ok), '') as labels,
-       coalesce(max(cover) filter (ok or not is_base), 0.0::double) as score
-from d left join k on d.rid = k.rid group by d.rid, doc_id, words
+       coalesce(max(cover), 0.0::double) as score
+from d left join o on d.rid = o.rid group by d.rid, doc_id, words
 """
 
 

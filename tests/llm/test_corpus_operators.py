@@ -217,6 +217,12 @@ def test_license_scan_merges_neighbouring_diagonals(spark):
         ("licensed under the Apache License, Version 2.0", "apache-2.0"),
         ("licensed under Creative Commons Attribution-NonCommercial 4.0 International", ""),
         ("licensed under Creative Commons Attribution-ShareAlike 4.0 International", "cc-by-sa"),
+        ("This work is licensed under the GNU General Public License version 3", "gpl-3.0"),
+        ("This work is licensed under the GNU General Public License version 2", ""),
+        ("licensed under the GNU Lesser General Public License", "lgpl"),
+        ("Permission is hereby granted, free of charge, to any person obtaining a copy of the Font Software, to use, study, copy, merge", ""),
+        ("released under the MIT" + " or any other" * 9 + " license", ""),
+        ("released under the mit licens\u212a and wor\u212a", ""),
     ],
 )
 def test_license_scan_tells_neighbouring_licenses_apart(spark, text, labels):
@@ -224,6 +230,36 @@ def test_license_scan_tells_neighbouring_licenses_apart(spark, text, labels):
     assert r["labels"] == labels and [x["label"] for x in r["spans"]] == [x for x in labels.split(",") if x]
 
 
+def test_license_scan_lower_cases_ascii_only(spark):
+    texts = ["this wor\u212a is licensed under the gnu general public license version 3", "\u0130t CC B\u0178", "ALL RIGHTS RESERVED"]
+    got = license_scan.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert got[0]["labels"] == "gpl,gpl-3.0" and 0.6 < max(x["cover"] for x in got[0]["spans"] if x["label"] == "gpl-3.0") < 1
+    assert [r["labels"] for r in got[1:]] == ["", "reserved"] and got[1]["n_words"] == 3
+
+
+def test_license_scan_of_whole_license_texts(spark):
+    whole = {label: words.replace("[", "").replace("]", "") for label, words in license_scan.NOTICES if label.endswith("-text")}
+    cut_off = {label: " ".join(t.split()[: len(t.split()) // 2]) for label, t in whole.items()}
+    edited = {label: " ".join(x for i, w in enumerate(t.split()) for x in ([w, "1"] if i in (30, 60) else [w])) for label, t in whole.items()}
+    for texts, found in ((whole, True), (cut_off, False), (edited, True)):
+        for r in license_scan.license_scan(spark.createDataFrame(list(texts.items()), "doc_id string, text string")).collect():
+            assert (r["doc_id"] in r["labels"].split(",")) == found
+            if texts is whole:
+                assert r["score"] == 1.0 and (r["doc_id"], 0, r["n_words"] - 1, 1.0) in [tuple(x) for x in r["spans"]]
+
+
+def test_license_scan_spans_do_not_chain(spark):
+    text = " ".join(["provided that the following"] * 400)
+    (r,) = license_scan.license_scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert r["labels"] == "" and r["score"] == 0.0 and r["n_words"] == 1600
+
+
+def test_license_scan_keeps_clashing_columns_and_rows_apart(spark):
+    df = spark.createDataFrame([(None, "CC BY"), (None, "CC BY"), (5, None)], "doc_id long, text string").withColumns({c: F.lit("x") for c in ("row", "id", "words", "tid", "label", "at", "n_words")})
+    got = license_scan.license_scan(df).collect()
+    assert sorted((r["doc_id"] or 0, r["n_words"], r["n_base"], r["base_labels"]) for r in got) == [(0, 2, 1, "cc-by"), (0, 2, 1, "cc-by"), (5, 0, 0, "")]
+
+
 # -- 1 quality -------------------------------------------------------------
 
 
