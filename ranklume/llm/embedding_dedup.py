@@ -5,13 +5,25 @@ cosine bound is a bound on Euclidean distance, so the exact threshold pairs are
 found with metric cover trees:
 
 1. equal vectors of a label are one class with a multiplicity;
-2. classes are dealt to blocks around centres chosen from a bounded sample; a
-   block gets a cover tree (nested levels, the radius halves at each);
-3. block pairs of a label whose covering radii leave no room for a link are
-   pruned; the others are joined by dual traversal: node pairs are pruned by the
-   same bound, node pairs that lie wholly within the threshold are counted
-   without listing them, and what is left is compared exactly;
-4. each task returns link counts and a forest; components finish the classes.
+2. a label with many classes is cut into blocks: every class goes to the nearest
+   of centres that are drawn from the classes, so dense regions get more of them;
+   a block that is overfull all the same is cut by a hash before it is gathered.
+   A block gets a cover tree (nested levels, the radius halves at each);
+3. block pairs are found by descent: a cover tree of the blocks' centres, whose
+   nodes know how far their blocks' points reach, is traversed from each block, so
+   no product of blocks is made.  Block pairs that lie wholly within the threshold
+   are counted and joined as blocks, their vectors don't travel;
+4. the other block pairs are joined by dual traversal: node pairs are pruned by the
+   covering radii, node pairs that lie wholly within the threshold are counted
+   without listing them, and what is left is compared exactly.  A block meets its
+   partners in portions, so that it travels once for each portion, not for each pair;
+5. each task returns link counts and a forest; components finish the classes.
+
+What reaches the driver is bounded by ``max_blocks``: the counts of labels with more
+than one block, the centres, and the blocks' summaries.
+
+Vectors without any clusters are about equally far apart in many dimensions; then
+no bound prunes, and the work is quadratic in the size of a label.
 
 Nulls: a vector that is null, empty or zero, or holds null or non-finite
 components, and a vector with a null label, links with nothing; vectors of
@@ -31,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import hash_sample, settled
+from .common import Scratch
 from .components import components, local_roots
 
 SLACK = 1e-6  # of computed distances
@@ -149,101 +161,176 @@ def dual_links(a: np.ndarray, ua: np.ndarray, ta: Node, ma: np.ndarray, b, ub, t
     return (na + nb if same else na), nb, root
 
 
-def _vectors(blob: bytes, dim: int) -> np.ndarray:
-    return np.frombuffer(blob, np.float64).reshape(-1, dim)
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def near_duplicates(rows: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", block_rows: int = 1500, sample_size: int = 4096) -> DataFrame:
-    """``id, n_links, component_id, kept`` of every row."""
-    ship(rows.sparkSession)
+def _matrix(column: pa.ChunkedArray | pa.Array, at: np.ndarray, dim: int) -> np.ndarray:
+    """Rows ``at``, which have ``dim`` elements, of a column of lists."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    starts = column.offsets.to_numpy()[:-1]
+    return column.values.to_numpy(zero_copy_only=False)[starts[at][:, None] + np.arange(dim)]
+
+
+@dataclass
+class Blocks:
+    """The blocks of one label: a cover tree of their centres, and how far from a node's centre its blocks' points reach."""
+
+    ids: list[str]
+    centres: np.ndarray
+    radii: np.ndarray
+    sizes: np.ndarray  # vectors, with multiplicity
+    hubs: np.ndarray  # a member's class of each
+
+    def __post_init__(self):
+        self.tree, self.covers = cover_tree(self.centres), {}
+        stack = [self.tree]
+        while stack:
+            node = stack.pop()
+            self.covers[id(node)] = float((_far(self.centres[node.points], self.centres[node.centre][None])[:, 0] + self.radii[node.points]).max())
+            stack += node.kids or []
+
+    def __getstate__(self):
+        return self.ids, self.centres, self.radii, self.sizes, self.hubs
+
+    def __setstate__(self, state):
+        self.ids, self.centres, self.radii, self.sizes, self.hubs = state
+        self.__post_init__()
+
+    def near(self, centre: np.ndarray, radius: float, reach: float) -> tuple[np.ndarray, np.ndarray]:
+        """Blocks that may hold a partner of a point within ``radius`` of ``centre``, and their distances."""
+        found, stack = [], [self.tree]
+        while stack:
+            node = stack.pop()
+            if float(_far(self.centres[node.centre][None], centre[None])[0, 0]) > reach + radius + self.covers[id(node)] + SLACK:
+                continue
+            if node.kids is None:
+                found.append(node.points)
+            else:
+                stack += node.kids
+        at = np.concatenate(found) if found else np.zeros(0, np.int64)
+        d = _far(self.centres[at], centre[None])[:, 0]
+        ok = d <= reach + radius + self.radii[at] + SLACK
+        return at[ok], d[ok]
+
+
+def near_duplicates(rows: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", block_rows: int = 1500, max_blocks: int = 4096, portion: int = 32) -> DataFrame:
+    """``id, n_links, component_id, kept`` of every row.
+
+    Blocks hold about ``block_rows`` classes, more if there would be more than
+    ``max_blocks`` of them.  ``portion`` partners of a block are met in one task.
+    """
+    spark = rows.sparkSession
+    ship(spark)
+    reach = float(np.sqrt(2.0 - 2.0 * threshold))
     vec = F.col(vec_col).cast("array<double>")
-    rows = settled(rows.select(F.col(id_col).alias("id"), F.col(label_col).cast("string").alias("label"), vec.alias("v")))
-    fine = F.col("label").isNotNull() & F.col("v").isNotNull() & F.coalesce(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False)) & F.exists("v", lambda x: x != 0)
-    rows = rows.withColumn("ok", F.coalesce(fine, F.lit(False)))
-    classes = rows.where("ok").groupBy("label", "v").agg(F.min("id").alias("rep"), F.count("*").alias("mult"))
-    classes = settled(classes.withColumn("cid", F.monotonically_increasing_id()))
-
-    n = classes.count()
-    sample = hash_sample(classes.select("label", "v", "cid"), n, sample_size, "cid").collect()
-    drawn: dict[tuple[str, int], list] = {}
-    for r in sample:
-        drawn.setdefault((r["label"], len(r["v"])), []).append(r["v"])
-    centres = {}
-    for key, vs in drawn.items():
-        u = np.array(vs, float)
-        u /= np.sqrt((u * u).sum(1, keepdims=True))
-        k = min(len(u), max(1, round(n * len(vs) / max(1, len(sample)) / block_rows)))
-        chosen, d = [0], _far(u, u[:1])[:, 0]
-        while len(chosen) < k:  # farthest first
-            chosen.append(int(d.argmax()))
-            d = np.minimum(d, _far(u, u[chosen[-1]][None])[:, 0])
-        centres[key] = u[chosen]
-
-    def deal(batches):
-        for batch in batches:
-            label, v, cid, mult = (batch.column(i).to_pylist() for i in range(4))
-            out: dict[tuple[str, int, int], list[int]] = {}
-            groups: dict[tuple[str, int], list[int]] = {}
-            for i, (a, x) in enumerate(zip(label, v)):
-                groups.setdefault((a, len(x)), []).append(i)
-            for (a, dim), at in groups.items():
-                x = np.array([v[i] for i in at], float)
-                u = x / np.sqrt((x * x).sum(1, keepdims=True))
-                c = centres.get((a, dim))
-                block = np.zeros(len(at), np.int64) if c is None else (u @ c.T).argmax(1)
-                for i, b in zip(at, block.tolist()):
-                    out.setdefault((a, dim, b), []).append(i)
-            keys = list(out)
-            pack = lambda f: pa.array([f(out[k]) for k in keys], pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.int32()), pack(lambda at: np.array([v[i] for i in at], float).tobytes()), pack(lambda at: np.array([cid[i] for i in at], np.int64).tobytes()), pack(lambda at: np.array([mult[i] for i in at], np.int64).tobytes())],
-                names=["label", "dim", "block", "v", "cid", "mult"],
-            )
-
-    def plant(table: pa.Table) -> pa.Table:
-        """Trees of one block; a block that came out too large is cut by distance from its first vector."""
-        label, dim, block = (table.column(k)[0].as_py() for k in ("label", "dim", "block"))
-        x, cid, mult = _vectors(b"".join(table.column("v").to_pylist()), dim), *(np.frombuffer(b"".join(table.column(k).to_pylist()), np.int64) for k in ("cid", "mult"))
-        u = x / np.sqrt((x * x).sum(1, keepdims=True))
-        order = np.argsort(u @ u[0], kind="stable")
-        rows = []
-        for s in range(0, len(order), 2 * block_rows):
-            at = order[s : s + 2 * block_rows]
-            tree = cover_tree(u[at])
-            rows.append((label, dim, f"{label}|{dim}|{block}|{s}", u[at][tree.centre].tolist(), tree.radius, pickle.dumps((dim, x[at].tobytes(), cid[at], mult[at], tree))))
-        schema = pa.schema([("label", pa.string()), ("dim", pa.int32()), ("bid", pa.string()), ("centre", pa.list_(pa.float64())), ("radius", pa.float64()), ("tree", pa.binary())])
-        return pa.Table.from_pylist([dict(zip(schema.names, r)) for r in rows], schema)
-
-    dealt = classes.select("label", "v", "cid", "mult").mapInArrow(deal, "label string, dim int, block int, v binary, cid binary, mult binary")
-    blocks = settled(dealt.groupBy("label", "dim", "block").applyInArrow(plant, "label string, dim int, bid string, centre array<double>, radius double, tree binary"))
-
-    reach = float(np.sqrt(2.0 - 2.0 * threshold)) + SLACK
-    side = lambda s: blocks.select("label", "dim", F.col("bid").alias(f"bid_{s}"), F.col("centre").alias(f"c_{s}"), F.col("radius").alias(f"r_{s}"))
-    gap = F.sqrt(F.aggregate(F.zip_with("c_a", "c_b", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
-    pairs = side("a").join(side("b"), ["label", "dim"]).where((F.col("bid_a") <= F.col("bid_b")) & (gap <= reach + F.col("r_a") + F.col("r_b"))).select("bid_a", "bid_b")
-    tree = lambda s: blocks.select(F.col("bid").alias(f"bid_{s}"), F.col("tree").alias(f"tree_{s}"))
-    joined = pairs.join(tree("a"), "bid_a").join(tree("b"), "bid_b").select("bid_a", "bid_b", "tree_a", "tree_b")
-
-    def link(batches):
-        for batch in batches:
-            for k in range(batch.num_rows):
-                same = batch.column(0)[k].as_py() == batch.column(1)[k].as_py()
-                dim, xa, ca, ma, ta = pickle.loads(batch.column(2)[k].as_py())
-                _, xb, cb, mb, tb = (dim, xa, ca, ma, ta) if same else pickle.loads(batch.column(3)[k].as_py())
-                xa, xb = _vectors(xa, dim), _vectors(xb, dim)
-                ua, ub = (x / np.sqrt((x * x).sum(1, keepdims=True)) for x in (xa, xb))
-                na, nb, root = dual_links(xa, ua, ta, ma, xb, ub, tb, mb, threshold, same)
-                cids, links = (ca, na) if same else (np.concatenate([ca, cb]), np.concatenate([na, nb]))
-                hit = np.flatnonzero(links > 0)
-                if len(hit):
-                    yield pa.RecordBatch.from_arrays([pa.array(cids[hit]), pa.array(links[hit]), pa.array(cids[root[hit]])], names=["cid", "n", "root"])
-
-    found = settled(joined.mapInArrow(link, "cid long, n long, root long"))
-    counts = found.groupBy("cid").agg(F.sum("n").alias("n"))
-    rooted = components(found.select(F.col("cid").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("cid"), "root")
-    named = settled(classes.join(counts, "cid", "left").join(rooted, "cid", "left").select("label", "v", "rep", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("root", "cid").alias("root")))
-    least = settled(named.groupBy("root").agg(F.min("rep").alias("component_id")))
-    named = settled(named.join(least, "root").select("label", "v", "n_links", "component_id"))
+    with Scratch(spark) as scratch:
+        rows = scratch.kept(rows.select(F.col(id_col).alias("id"), F.col(label_col).cast("string").alias("label"), vec.alias("v")))
+        fine = F.col("label").isNotNull() & F.col("v").isNotNull() & F.coalesce(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False)) & F.exists("v", lambda x: x != 0)
+        rows = rows.withColumn("ok", F.coalesce(fine, F.lit(False)))
+        classes = rows.where("ok").groupBy("label", "v").agg(F.min("id").alias("rep"), F.count("*").alias("mult"))
+        classes = scratch.stored(classes.withColumn("cid", F.monotonically_increasing_id()).withColumn("dim", F.size("v")))
+
+        target = max(block_rows, -(-classes.count() // max_blocks))
+        # at most max_blocks / 2 labels have more than one block
+        large = classes.groupBy("label", "dim").agg(F.count("*").alias("n")).where(F.col("n") > 2 * target).select("label", "dim")
+        draw = F.xxhash64(F.lit(3), "cid").bitwiseAND(F.lit((1 << 40) - 1)) < int((1 << 40) / target)
+        drawn: dict[tuple[str, int], list] = {}
+        for r in classes.where(draw).join(F.broadcast(large), ["label", "dim"]).select("label", "dim", "v").collect():
+            drawn.setdefault((r["label"], r["dim"]), []).append(r["v"])
+        centres = spark.sparkContext.broadcast({k: _unit(np.array(sorted(v), float)) for k, v in drawn.items()})
+
+        def deal(batches):
+            for batch in batches:
+                label, dim = batch.column("label").to_pylist(), batch.column("dim").to_pylist()
+                block, groups = np.zeros(batch.num_rows, np.int32), {}
+                for i, key in enumerate(zip(label, dim)):
+                    if key in centres.value:
+                        groups.setdefault(key, []).append(i)
+                for key, at in groups.items():
+                    u = _unit(_matrix(batch.column("v"), np.array(at), key[1]))
+                    for s in range(0, len(at), 1024):
+                        block[at[s : s + 1024]] = (u[s : s + 1024] @ centres.value[key].T).argmax(1)
+                yield batch.append_column("block", pa.array(block))
+
+        dealt = scratch.stored(classes.select("label", "dim", "v", "cid", "mult").mapInArrow(deal, "label string, dim int, v array<double>, cid long, mult long, block int"))
+        # overfull blocks, at most max_blocks of them
+        full = dealt.groupBy("label", "dim", "block").agg(F.ceil(F.count("*") / target).cast("int").alias("cuts")).where("cuts > 2")
+        cut = dealt.join(F.broadcast(full), ["label", "dim", "block"], "left").withColumn("sub", F.pmod(F.xxhash64("cid"), F.coalesce("cuts", F.lit(1))).cast("int")).drop("cuts")
+
+        def plant(table: pa.Table) -> pa.Table:
+            """The tree of one block."""
+            label, dim, block, sub = (table.column(k)[0].as_py() for k in ("label", "dim", "block", "sub"))
+            x, cid, mult = _matrix(table.column("v"), np.arange(table.num_rows), dim), *(table.column(k).to_numpy() for k in ("cid", "mult"))
+            u = _unit(x)
+            tree = cover_tree(u)
+            row = (label, dim, f"{block}|{sub}|{dim}|{label}", u[tree.centre].tolist(), tree.radius, int(mult.sum()), int(cid.min()), pickle.dumps((x, cid, mult, tree)))
+            schema = pa.schema([("label", pa.string()), ("dim", pa.int32()), ("bid", pa.string()), ("centre", pa.list_(pa.float64())), ("radius", pa.float64()), ("size", pa.int64()), ("hub", pa.int64()), ("tree", pa.binary())])
+            return pa.Table.from_pylist([dict(zip(schema.names, row))], schema)
+
+        summary = "label string, dim int, bid string, centre array<double>, radius double, size long, hub long"
+        blocks = scratch.stored(cut.groupBy("label", "dim", "block", "sub").applyInArrow(plant, f"{summary}, tree binary"))
+
+        known: dict[tuple[str, int], list] = {}
+        for r in blocks.join(F.broadcast(large), ["label", "dim"]).select("label", "dim", "bid", "centre", "radius", "size", "hub").collect():
+            known.setdefault((r["label"], r["dim"]), []).append(r)
+        column = lambda rs, c, kind=None: np.array([r[c] for r in rs], kind)
+        forests = spark.sparkContext.broadcast({k: Blocks([r["bid"] for r in rs], column(rs, "centre", float), column(rs, "radius", float), column(rs, "size", np.int64), column(rs, "hub", np.int64)) for k, rs in known.items()})
+
+        def find(batches):
+            """Rows of three kinds: a block itself, a portion's partner, and an edge between the hubs of blocks that link wholly."""
+            names, types = ["kind", "a", "part", "b", "n", "ea", "eb"], [pa.string(), pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+            for batch in batches:
+                for r in batch.to_pylist():
+                    here, out, whole = forests.value.get((r["label"], r["dim"])), [], 0
+                    if here is not None:
+                        at, d = here.near(np.array(r["centre"]), r["radius"], reach)
+                        other = np.array([here.ids[i] != r["bid"] for i in at], bool)
+                        at, d = at[other], d[other]
+                        within = d + r["radius"] + here.radii[at] + SLACK < reach
+                        whole = int(here.sizes[at[within]].sum())
+                        out += [("edge", None, None, None, None, r["hub"], h) for h in here.hubs[at[within]].tolist() if h > r["hub"]]
+                        later = [here.ids[i] for i in at[~within].tolist() if here.ids[i] > r["bid"]]
+                        out += [("pair", r["bid"], k // portion, b, None, None, None) for k, b in enumerate(sorted(later))]
+                    out.append(("self", r["bid"], 0, None, whole, None, None))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
+
+        pairs = scratch.stored(blocks.select(*(x.split()[0] for x in summary.split(", "))).mapInArrow(find, "kind string, a string, part int, b string, n long, ea long, eb long"))
+        tree = blocks.select("bid", "hub", "tree")
+        slots = pairs.where("kind = 'pair'").select("a", "part", F.lit(-1).cast("long").alias("n")).unionByName(pairs.where("kind = 'self'").select("a", "part", "n")).groupBy("a", "part").agg(F.max("n").alias("n"))
+        own = slots.join(tree, F.col("a") == F.col("bid")).select("a", "part", F.lit(0).alias("place"), "n", "hub", "tree")
+        partners = pairs.where("kind = 'pair'").join(tree, F.col("b") == F.col("bid")).select("a", "part", F.lit(1).alias("place"), F.lit(0).cast("long").alias("n"), "hub", "tree")
+        meeting = own.unionByName(partners).repartition("a", "part").sortWithinPartitions("a", "part", "place")
+
+        def link(batches):
+            """A block's own row comes first, then its partners, one at a time."""
+
+            def emit(cids, n, root):
+                hit = np.flatnonzero((n > 0) | (root != np.arange(len(root))))
+                return pa.RecordBatch.from_arrays([pa.array(cids[hit]), pa.array(n[hit]), pa.array(cids[root[hit]])], names=["cid", "n", "root"])
+
+            for batch in batches:
+                for place, n, hub, blob in zip(*(batch.column(k).to_pylist() for k in ("place", "n", "hub", "tree"))):
+                    x, cid, mult, t = pickle.loads(blob)
+                    u = _unit(x)
+                    if place == 0:
+                        mine = x, u, t, mult
+                        mine_cid = cid
+                        if n >= 0:  # the block's first portion: its own links, and those with whole blocks
+                            links, _, root = dual_links(*mine, *mine, threshold, True)
+                            yield emit(cid, links + n, np.full(len(cid), int(np.flatnonzero(cid == hub)[0])) if n > 0 else root)
+                    else:
+                        na, nb, root = dual_links(*mine, x, u, t, mult, threshold, False)
+                        yield emit(np.concatenate([mine_cid, cid]), np.concatenate([na, nb]), root)
+
+        found = scratch.stored(meeting.mapInArrow(link, "cid long, n long, root long"))
+        counts = found.groupBy("cid").agg(F.sum("n").alias("n"))
+        edges = found.select(F.col("cid").alias("a"), F.col("root").alias("b")).unionByName(pairs.where("kind = 'edge'").select(F.col("ea").alias("a"), F.col("eb").alias("b")))
+        rooted = components(edges).select(F.col("node").alias("cid"), "root")
+        named = scratch.stored(classes.join(counts, "cid", "left").join(rooted, "cid", "left").select("label", "v", "rep", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("root", "cid").alias("root")))
+        least = scratch.stored(named.groupBy("root").agg(F.min("rep").alias("component_id")))
+        named = scratch.kept(named.join(least, "root").select("label", "v", "n_links", "component_id"))
 
     linked = rows.where("ok").join(named, ["label", "v"]).select("id", "n_links", "component_id")
     alone = rows.where("not ok").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))

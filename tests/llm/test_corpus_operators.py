@@ -422,12 +422,35 @@ def test_embeddings_match_brute_force(spark, sf_dir):
     schema = T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("embedding", T.ArrayType(T.FloatType())), T.StructField("label", T.IntegerType())])
     df = spark.createDataFrame(rows, schema)
     want = brute.vector_links([(r["vec_id"], r["embedding"], r["label"]) for r in df.collect()])
-    for block in (1500, 40):
-        got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embedding_dedup.near_duplicates(df, block_rows=block).collect()}
+    for options in ({}, {"block_rows": 40}, {"block_rows": 3, "portion": 2}, {"block_rows": 10, "max_blocks": 20}):
+        got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embedding_dedup.near_duplicates(df, **options).collect()}
         assert got == want
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embeddings_of_dense_balls_and_clashing_columns(spark):
+    rng = np.random.default_rng(11)
+    centres = [rng.normal(size=16) for _ in range(3)]
+    rows = [(100 * k + i, (c + rng.normal(size=16) * s).tolist(), "x") for k, (c, s) in enumerate(zip(centres, (0.002, 0.05, 0.2))) for i in range(90)]
+    rows += [(None, centres[0].tolist(), "x"), (None, centres[0].tolist(), "x"), (5, centres[2].tolist(), "y")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string").withColumns({c: F.lit("x") for c in ("v", "id", "ok", "cid", "block", "bid")})
+    numbered = [(i if r[0] is None or r[2] == "y" else r[0], r[1], r[2]) for i, r in enumerate(rows, 1000)]
+    want = brute.vector_links(numbered)
+    got = sorted((r["vec_id"] is not None, r["vec_id"] or 0, r["n_links"], r["component_id"]) for r in embedding_dedup.near_duplicates(df, block_rows=8, portion=3).collect())
+    assert got == sorted((r[0] is not None, r[0] or 0, want[n[0]][0], 5 if r[2] == "y" else want[n[0]][1]) for r, n in zip(rows, numbered))
+
+
+def test_descent_finds_all_near_blocks():
+    rng = np.random.default_rng(12)
+    u = embedding_dedup._unit(rng.normal(size=(400, 3)))
+    radii = rng.random(400) * 0.3
+    blocks = embedding_dedup.Blocks([str(i) for i in range(400)], u, radii, np.ones(400, np.int64), np.arange(400))
+    for i in range(0, 400, 7):
+        at, _ = blocks.near(u[i], radii[i], 0.2)
+        want = np.flatnonzero(np.linalg.norm(u - u[i], axis=1) <= 0.2 + radii[i] + radii)
+        assert set(want.tolist()) <= set(at.tolist()) and len(at) <= len(want) + 1
+
+
 def test_cover_tree_levels_cover():
     rng = np.random.default_rng(6)
     u = rng.normal(size=(300, 5))
