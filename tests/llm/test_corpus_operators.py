@@ -84,21 +84,50 @@ def test_simhash_odd_rows(odd, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
-@pytest.mark.parametrize("depth", [0, 3, 6])
-def test_vantage_point_shards_find_every_pair(depth):
-    rng = np.random.default_rng(depth)
+def print_cloud(seed: int) -> np.ndarray:
+    rng = np.random.default_rng(seed)
     base = rng.integers(0, 2**63, 700, dtype=np.uint64)
-    near = base[:300] ^ (np.uint64(1) << rng.integers(0, 64, 300, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 300, dtype=np.uint64))
+    flip = lambda n: np.uint64(1) << rng.integers(0, 64, n, dtype=np.uint64)
+    near = base[:300] ^ flip(300) ^ flip(300)
+    far = base[300:500] ^ flip(200) ^ flip(200) ^ flip(200) ^ flip(200)
     dense = np.uint64(12345) ^ (np.uint64(1) << np.arange(40, dtype=np.uint64))
-    points = np.unique(np.concatenate([base, near, dense]))
-    tree = simhash.top_tree(points[::3], depth)
+    one_part = (rng.integers(0, 2**48, 400, dtype=np.uint64) << np.uint64(16)) | np.uint64(77)  # a part that can't be split
+    return np.unique(np.concatenate([base, near, far, dense, one_part]))
+
+
+def print_links(points: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    return [(int(p), int(q)) for p in points for q in points[np.bitwise_count(points ^ p) <= radius]]
+
+
+@pytest.mark.parametrize("depth, parts, radius", [(0, 4, 4), (3, 4, 4), (6, 4, 4), (3, 1, 4), (4, 2, 3), (4, 4, 7)])
+def test_vantage_point_shards_find_every_pair(depth, parts, radius):
+    points = print_cloud(depth)
     links = []
-    for _, homes, guests in simhash.route(tree, points, 4):
-        x, y = simhash.near_pairs(points[homes], points[guests], 4, leaf=16)
-        every = np.concatenate([points[homes], points[guests]])
-        links += list(zip(every[x].tolist(), every[y].tolist()))
-    want = [(int(p), int(q)) for p in points for q in points[np.bitwise_count(points ^ p) <= 4]]
-    assert brute.classes(points.tolist(), links) == brute.classes(points.tolist(), want)
+    for mask in simhash.part_masks(parts):
+        ways = [(mask, radius // parts), (simhash.ALL, radius)]
+        homes_seen = []
+        for _, homes, guests in simhash.route(simhash.top_tree(points[::3], depth, ways), points):
+            x, y = simhash.near_pairs(points[homes], points[guests], radius, ways, leaf=16, held=50)
+            every = np.concatenate([points[homes], points[guests]])
+            links += list(zip(every[x].tolist(), every[y].tolist()))
+            homes_seen += homes.tolist()
+        assert sorted(homes_seen) == list(range(len(points)))
+    assert all((p ^ q).bit_count() <= 64 for p, q in links)
+    assert brute.classes(points.tolist(), links) == brute.classes(points.tolist(), print_links(points, radius))
+
+
+@pytest.mark.parametrize("options", [{}, {"shard_rows": 100, "least_shards": 1}, {"least_shards": 400, "sample_size": 150}, {"parts": 1, "shard_rows": 50}])
+def test_distributed_shards_find_every_pair(spark, options):
+    points = print_cloud(9)
+    prints = spark.createDataFrame([(int(p),) for p in points.view(np.int64)], "fp long").repartition(3)
+    links = [(r["a"] & (2**64 - 1), r["b"] & (2**64 - 1)) for r in simhash.link(prints, **options).collect()]
+    assert brute.classes(points.tolist(), links) == brute.classes(points.tolist(), print_links(points, 4))
+
+
+def test_simhash_with_forced_shards_and_clashing_columns(spark, docs):
+    clash = docs.withColumns({c: F.lit("x") for c in ("fp", "name", "id", "rep", "root", "node")})
+    got = {r["doc_id"]: (f"{r['fp'] & (2**64 - 1):016x}", r["component_id"]) for r in simhash.near_duplicates(clash, shard_rows=20, least_shards=64).collect()}
+    assert got == brute.simhash_classes(texts(docs))
 
 
 # -- 3 sharding ------------------------------------------------------------
