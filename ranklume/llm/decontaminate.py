@@ -1,19 +1,30 @@
-"""Benchmark decontamination: bounds on the alignment score, then Smith-Waterman.
+"""Benchmark decontamination: rare n-gram seeds, bounds on the score, Smith-Waterman.
 
 Texts are cut into words, with case folded over Unicode.  A document matches an item if their
 Smith-Waterman alignment (local, linear gaps) reaches the share ``least`` of the
-item's best possible score, and the score of ``n`` words in a row.  Two bounds that
-no alignment exceeds pick the items worth aligning, so none that reaches both is
-missed: the item's words that occur in the document at all, and the best run of the
-document if each of its words counted as matched that occurs in the item at all.
-The alignment is made over the words that such runs can span.
+item's best possible score, and the score of ``n`` words in a row.
+
+1. Seeds.  An alignment that reaches the score matches a number of the item's words
+   at least, so if that many less one are set aside, it matches one of the others.
+   The most frequent are set aside, by the number of documents that they occur in;
+   the rest, the rare ones, are the item's seeds, and a document is joined with the
+   items whose seeds it holds.  The n-grams of seeds are single words (n = 1):
+   longer ones lose edited copies, where every n-gram of three words may be broken
+   although most words are left.
+2. Bounds.  Two bounds that no alignment exceeds pick the items worth aligning: the item's words that occur in
+   the document at all, and the best run of the document if each of its words counted as
+   matched that occurs in the item at all.
+3. The alignment is made over the words that such runs can span.
+
+No step loses a pair that reaches the score.
 
 The items are the stated query set: they are taken in blocks of at most
 ``block_items`` (which bounds what is broadcast), each block against all
-documents.
+documents in two passes (frequencies, alignments): the cost is in proportion to
+documents times blocks.
 
 Nulls: null texts are empty; items without ``n`` words match nothing; null ids
-are returned as null.  Repeated documents or items are
+are returned as null.  Item ids are integers.  Repeated documents or items are
 reported each.  Empty tables: no rows.
 """
 
@@ -25,6 +36,7 @@ from unicodedata import normalize
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -86,27 +98,51 @@ class Index:
         pairs, self.times = np.unique(flat * count + np.repeat(np.arange(len(items)), self.sizes), return_counts=True)
         self.owner = pairs % count
         self.first = np.searchsorted(pairs // count, np.arange(len(self.vocabulary) + 1))
+        self.choose_seeds(np.diff(self.first))
+
+    def needed(self, least: float) -> np.ndarray:
+        """The score that an alignment with each item has to reach."""
+        return np.maximum(np.ceil(least * MATCH * self.sizes - 1e-6), MATCH * self.n)
+
+    def choose_seeds(self, frequency: np.ndarray, least: float = 0.0) -> None:
+        """Seeds by the frequency of the vocabulary's words, good for alignments of ``least`` or more; by default rare among the items."""
+        self.least = least
+        spare = np.ceil(self.needed(least) / MATCH).astype(np.int64) - 1  # words that may be set aside
+        keys = [word * max(1, len(self.items)) + k for k, item in enumerate(self.items) for word in item[np.argsort(frequency[item], kind="stable")][: max(0, len(item) - spare[k])]]
+        pairs = np.unique(np.array(keys, np.int64))
+        self.seed_owner = pairs % max(1, len(self.items))
+        self.seed_first = np.searchsorted(pairs // max(1, len(self.items)), np.arange(len(self.vocabulary) + 1))
 
     def words(self, text: str | None) -> np.ndarray:
         """The numbers of a document's words; -1 stands for words of no item."""
         words = words_of(text)
         return np.fromiter(map(self.vocabulary.get, words, repeat(-1)), np.int64, len(words))
 
-    def shared(self, ids: np.ndarray) -> np.ndarray:
-        """How many words of each item occur in the document."""
+    @staticmethod
+    def _postings(first: np.ndarray, words: np.ndarray) -> np.ndarray:
+        lengths = first[words + 1] - first[words]
+        return np.repeat(first[words] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+
+    def candidates(self, ids: np.ndarray, needed: np.ndarray) -> np.ndarray:
+        """Items that share a seed with the document, and enough of their words."""
         seen = np.unique(ids)
         seen = seen[seen >= 0]
-        lengths = self.first[seen + 1] - self.first[seen]
-        post = np.repeat(self.first[seen] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
-        return np.bincount(self.owner[post], weights=self.times[post], minlength=len(self.items))
+        seeded = np.zeros(len(self.items), bool)
+        seeded[self.seed_owner[self._postings(self.seed_first, seen)]] = True
+        if not seeded.any():
+            return np.zeros(0, np.int64)
+        post = self._postings(self.first, seen)
+        shared = np.bincount(self.owner[post], weights=self.times[post], minlength=len(self.items))
+        return np.flatnonzero(seeded & (MATCH * shared >= needed))
 
     def align(self, text: str | None, least: float) -> list[tuple[int, float, int, int]]:
         """``(item id, score, first word, last word)`` of every item that scores ``least`` or more in the text."""
         ids = self.words(text)
-        needed = np.maximum(np.ceil(least * MATCH * self.sizes - 1e-6), MATCH * self.n)
+        needed = self.needed(least)
+        assert least >= self.least, "the seeds are for better alignments"
         own = np.zeros(len(self.vocabulary) + 1, bool)  # the last one is for words of no item
         out = []
-        for k in np.flatnonzero(MATCH * self.shared(ids) >= needed):
+        for k in self.candidates(ids, needed):
             item = self.items[k]
             own[item] = True
             run = np.concatenate(([0], np.cumsum(np.where(own[ids], MATCH, max(MISMATCH, GAP)))))
@@ -123,12 +159,35 @@ class Index:
         return out
 
 
-def _blocks(items: DataFrame, block_items: int, n: int, item_id: str, item_text: str) -> Iterator[Index]:
+def document_frequency(index: Index, docs: DataFrame, text_col: str) -> np.ndarray:
+    """How many documents each word of the items occurs in; as many numbers as the block of items has words."""
+    ship(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(index)
+
+    def count(batches):
+        total = np.zeros(len(shared.value.vocabulary), np.int64)
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                seen = np.unique(shared.value.words(text))
+                total[seen[seen >= 0]] += 1
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["word", "n"])
+
+    out = np.zeros(len(index.vocabulary), np.int64)
+    for r in spread(docs.select(F.col(text_col).alias("t"))).mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect():
+        out[r["word"]] = r["n"]
+    return out
+
+
+def _blocks(docs: DataFrame, text_col: str, items: DataFrame, block_items: int, n: int, least: float, item_id: str, item_text: str) -> Iterator[Index]:
     total = items.count()
     parts = max(1, -(-total // block_items))
     for k in range(parts):
         block = items.where(F.pmod(F.xxhash64(item_id, item_text), F.lit(parts)) == k) if parts > 1 else items
-        yield Index(sorted(((r[0], r[1]) for r in block.select(item_id, item_text).collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1] or "")), n)
+        index = Index(sorted(((r[0], r[1]) for r in block.select(item_id, item_text).collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1] or "")), n)
+        if index.vocabulary:
+            index.choose_seeds(document_frequency(index, docs, text_col), least)
+        yield index
 
 
 def aligned(index: Index, docs: DataFrame, text: F.Column, least: float) -> F.Column:
@@ -146,7 +205,7 @@ def aligned(index: Index, docs: DataFrame, text: F.Column, least: float) -> F.Co
 def contaminated(docs: DataFrame, items: DataFrame, least: float = 0.4, n: int = 3, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", block_items: int = 20_000) -> DataFrame:
     """``id, item_id, score, first_word, last_word`` of every document and item that align with ``least`` or more."""
     out = None
-    for index in _blocks(items, block_items, n, item_id, item_text):
+    for index in _blocks(docs, text_col, items, block_items, n, least, item_id, item_text):
         part = spread(docs.select(F.col(id_col), F.col(text_col).alias("_text"))).select(id_col, aligned(index, docs, F.col("_text"), least).alias("h")).select(id_col, F.inline("h"))
         out = part if out is None else out.unionByName(part)
     return out
@@ -155,6 +214,6 @@ def contaminated(docs: DataFrame, items: DataFrame, least: float = 0.4, n: int =
 def clean(docs: DataFrame, items: DataFrame, least: float = 0.4, n: int = 3, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", block_items: int = 20_000) -> DataFrame:
     """The rows of ``docs`` that align with no item."""
     kept = docs
-    for index in _blocks(items, block_items, n, item_id, item_text):
+    for index in _blocks(docs, text_col, items, block_items, n, least, item_id, item_text):
         kept = kept.where(F.size(aligned(index, docs, F.col(text_col), least)) == 0)
     return kept

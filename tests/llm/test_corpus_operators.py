@@ -380,6 +380,37 @@ def test_decontamination_matches_alignment_of_everything(share):
     assert found > 60
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_seeds_lose_no_alignment(seed):
+    rng = random.Random(seed)
+    vocabulary = [f"v{i}" for i in range(60)] + ["the", "of"] * 20
+    items = [(k, " ".join(rng.choices(vocabulary, k=rng.randrange(1, 25)))) for k in range(15)]
+    index = decontaminate.Index(items)
+    index.choose_seeds(np.array([rng.randrange(5) for _ in index.vocabulary]), 0.4)
+    for _ in range(150):
+        text = " ".join(rng.choices(vocabulary, k=rng.randrange(40)))
+        ids = np.array([index.vocabulary.get(w.encode(), -1) for w in text.split()], int)
+        best = [brute.smith_waterman(item, ids) for item in index.items]
+        want = {k: g / (2 * len(t)) for k, (g, t) in enumerate(zip(best, index.items)) if g >= 6 and g / (2 * len(t)) >= 0.4}
+        assert {k: s for k, s, _, _ in index.align(text, 0.4)} == want
+
+
+def test_contaminated_matches_alignment_of_all_documents_with_all_items(spark, docs, sf_dir):
+    items = [(r["item_id"], r["text"]) for r in table(spark, sf_dir, "benchmark").collect()]
+    short = [(10**6 + k, " ".join(t.split()[:m])) for k, ((_, t), m) in enumerate(zip(items, (1, 2, 3, 4, 5, 6, 8, 11) * 3))]
+    bench = spark.createDataFrame(items + short, "item_id long, text string").withColumn("score", F.lit("x"))
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontaminate.contaminated(docs.withColumn("h", F.lit(1)).withColumn("score", F.lit(1)), bench).collect()}
+    index, want = decontaminate.Index(items + short), {}
+    for i, t in texts(docs):
+        ids = index.words(t)
+        for k, item in enumerate(index.items):
+            if len(item) >= 3 and len(ids):
+                g = decontaminate.smith_waterman(item, ids)[0]  # itself tested against the whole table
+                if g >= 6 and g / (2 * len(item)) >= 0.4:
+                    want[(i, index.ids[k])] = g / (2 * len(item))
+    assert got == want and any(k >= 10**6 for _, k in want)
+
+
 def test_decontamination_of_one_surviving_ngram_and_none():
     words = [f"w{i}" for i in range(20)]
     one = [w if i < 3 or i % 3 else "edited" for i, w in enumerate(words)]
