@@ -88,17 +88,18 @@ select doc_id, size, crc as text_crc32, 'bytes' as law, shard, row_number() over
 """
 
 OP4_SQL = r"""
-with t as (
+with raw as (
   select conv_id // 2 as pair_id, conv_id % 2 = 0 as side, coalesce(role, 'unknown') as role, coalesce(text, '') as text,
          row_number() over (partition by conv_id order by turn nulls first, coalesce(role, 'unknown'), coalesce(text, '')) - 1 as i
   from conversations where conv_id is not null),
+t as (select *, regexp_replace(regexp_replace(role, '<(\\*)\|', '<\\\1|', 'g'), '\|(\\*)>', '|\\\1>', 'g') as safe_role, regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g') as safe_text from raw),
 same as (
   select a.pair_id, a.i from t a join t b on a.pair_id = b.pair_id and a.i = b.i and a.side and not b.side and a.role = b.role and a.text = b.text),
 runs as (select pair_id, i, row_number() over (partition by pair_id order by i) - 1 as k from same),
 pre as (select pair_id, count(*) filter (i = k) as n from runs group by pair_id),
 u as (
-  select t.*, coalesce(pre.n, 0) as n, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) as body,
-         (length(role) + 5)::varchar || ':0,' || (length(text) + 8)::varchar || case when role = 'assistant' then ':1' else ':0' end as mask
+  select t.*, coalesce(pre.n, 0) as n, '<|' || safe_role || '|>' || chr(10) || safe_text || '<|end|>' || chr(10) as body,
+         (length(safe_role) + 5)::varchar || ':0,' || (length(safe_text) + 8)::varchar || case when role = 'assistant' then ':1' else ':0' end as mask
   from t left join pre using (pair_id))
 select pair_id, bool_or(side) and bool_or(not side) as complete, any_value(n)::bigint as n_prompt,
        coalesce(string_agg(body, '' order by i) filter (side and i < n), '') as prompt,
@@ -113,9 +114,11 @@ OP6_SQL = r"""
 with d as (
   select doc_id, case when source is null then '1' else '0' || source end as sk,
          len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size, length(coalesce(text, '')) as n,
-         ('0x' || substr(md5('mix|' || coalesce(doc_id::varchar, '')), 1, 13))::bigint as u
+         length(translate(coalesce(text, ''), '#$%&*+=@^_|<>[]{}/~0123456789', '')) as n_plain,
+         ('0x' || substr(md5('mix|' || coalesce(doc_id::varchar, '') || '|' || md5(coalesce(text, ''))), 1, 13))::bigint as u
   from documents),
-k as (select *, -ln((u + 0.5::double) / 4503599627370496::double) / case when size = 0 then 1.0::double else 1.0::double / (1.0::double + abs(n::double / size::double - 6.0::double)) end as e from d),
+q as (select *, n_plain::double / n::double as plain from d),
+k as (select *, -ln((u + 0.5::double) / 4503599627370496::double) / case when size = 0 then 1.0::double else (0.01::double + 0.99::double * plain * plain) / (1.0::double + abs(n::double / size::double - 6.0::double)) end as e from q),
 s as (select sk, sum(size)::bigint as s_size from k group by sk),
 w as (select *, [3.0::double, 1.0::double, 2.0::double][((row_number() over (order by sk) - 1) % 3 + 1)::int] as w, s_size::double * 2.0::double as cap from s),
 r as (select *, cap / w as ratio from w),

@@ -8,7 +8,8 @@ without a global sort:
    chosen for an expected size) gives quantile boundaries of the text hash; a value that fills several quantiles
    is a hot group and gets a range of its own;
 2. every row goes to its range; a range that is overfull because of one hot
-   group is subdivided by the id hash;
+   group is subdivided by the id hash, and what one id fills of that by a row
+   number (rows with equal id and text are interchangeable);
 3. bytes and rows per range, a small table, are prefix-summed; windows inside
    the ranges add the rest, so positions are exact whatever the sample was.
 
@@ -61,7 +62,7 @@ def assign_shards(
     keys a range, whatever the input's size.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    base = settled(docs.select(F.col(id_col).alias("id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("crc"), hash60(text).alias("k1"), hash60(F.col(id_col)).alias("k2")))
+    base = settled(docs.select(F.col(id_col).alias("id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("crc"), hash60(text).alias("k1"), hash60(F.col(id_col)).alias("k2"), F.monotonically_increasing_id().alias("at")))
     n, total = base.agg(F.count("*"), F.sum("size")).first()
     total = total or 1
     ranges = min(max(ranges, -(-n // rows_per_range)), 65_536)
@@ -76,19 +77,23 @@ def assign_shards(
     # at most 2 * ranges rows, and only the overfull ones matter
     hot = fill.where(F.col("alone") & (F.col("n") > 2 * target)).select("rng", "r_bytes", F.ceil(F.col("n") / target).alias("parts"))
     cut = ranged.join(F.broadcast(hot), "rng", "left").withColumn("sub", F.coalesce(F.floor(F.col("k2") / TWO60 * F.col("parts")), F.lit(0)).cast("int"))
-    cut = settled(cut.withColumn("hot", F.col("parts").isNotNull()).select("id", "size", "crc", "k1", "k2", "rng", "sub", "hot"))
-
-    order = Window.orderBy("rng", "sub").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cut.groupBy("rng", "sub").agg(F.count("*").alias("c_rows"), F.sum("size").alias("c_bytes"))
+    same_id = cut.where("parts is not null").groupBy("rng", "sub").agg(F.count("*").alias("n"), (F.min("k2") == F.max("k2")).alias("alone"))
+    same_id = same_id.where(F.col("alone") & (F.col("n") > 2 * target)).select("rng", "sub", F.ceil(F.col("n") / target).alias("times"))
+    cut = cut.join(F.broadcast(same_id), ["rng", "sub"], "left").withColumn("salt", F.coalesce(F.pmod("at", "times"), F.lit(0)).cast("int"))
+    cut = settled(cut.withColumn("hot", F.col("parts").isNotNull()).select("id", "size", "crc", "k1", "k2", "rng", "sub", "salt", "hot"))
+
+    cell = ["rng", "sub", "salt"]
+    order = Window.orderBy(*cell).rowsBetween(Window.unboundedPreceding, -1)
+    cells = cut.groupBy(*cell).agg(F.count("*").alias("c_rows"), F.sum("size").alias("c_bytes"))
     cells = cells.withColumn("row0", F.coalesce(F.sum("c_rows").over(order), F.lit(0))).withColumn("byte0", F.coalesce(F.sum("c_bytes").over(order), F.lit(0)))
     whole = Window.partitionBy("rng")
     cells = cells.withColumn("hot_bytes", F.sum("c_bytes").over(whole)).withColumn("hot_byte0", F.min("byte0").over(whole))
 
-    inside = Window.partitionBy("rng", "sub").orderBy("k1", "k2", "id", "size")
+    inside = Window.partitionBy(*cell).orderBy("k1", "k2", "id", "size")
     before = F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
-    same = Window.partitionBy("rng", "sub", "k1")
+    same = Window.partitionBy(*cell, "k1")
     placed = cut.withColumn("pos", before).withColumn("rn", F.row_number().over(inside) - 1).withColumn("g_bytes", F.sum("size").over(same)).withColumn("g_pos", F.min("pos").over(same))
-    placed = placed.join(F.broadcast(cells.drop("c_rows", "c_bytes")), ["rng", "sub"])
+    placed = placed.join(F.broadcast(cells.drop("c_rows", "c_bytes")), cell)
     g_bytes = F.when(F.col("hot"), F.col("hot_bytes")).otherwise(F.col("g_bytes"))
     g_start = F.when(F.col("hot"), F.col("hot_byte0")).otherwise(F.col("byte0") + F.col("g_pos"))
     together = g_bytes <= whole_share * total / n_shards

@@ -159,6 +159,16 @@ def test_shards_of_nulls_repeats_and_nothing(spark, empty):
     assert sharding.assign_shards(empty).count() == 0
 
 
+def test_shards_of_one_row_repeated_many_times(spark):
+    rows = [(None if i % 2 else 7, "the same text") for i in range(4000)] + [(i, f"text {i}") for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("x") for c in ("at", "salt", "sub", "rng", "k1", "id", "size")})
+    out = sharding.assign_shards(df, 5, ranges=16)
+    by = out.groupBy("shard").agg(F.count("*").alias("n"), F.max("slot").alias("m"), F.countDistinct("slot").alias("d"), F.sum("size").alias("b")).collect()
+    assert len(by) == 5 and all(r["n"] == r["d"] == r["m"] + 1 for r in by) and max(r["b"] for r in by) - min(r["b"] for r in by) < 100
+    placed = sorted(tuple(r) for r in out.select("doc_id", "size", "text_crc32", "shard").fillna(-1).collect())
+    assert placed == sorted((-1 if x[0] is None else x[0], *x[1:4]) for x in brute.shards(rows, 5))
+
+
 def test_splitters_isolate_hot_keys():
     bounds = sharding.splitters([1, 5, 5, 5, 5, 5, 9, 12], 8)
     assert 5 in bounds and 6 in bounds
@@ -212,6 +222,24 @@ def test_mix_odd_rows(odd, empty, spark):
     assert mixing.mix(clash).count() == len(ODD)
 
 
+def test_mix_of_equal_rows_and_many_buckets(spark):
+    rows = [(7, "a b c d", "s")] * 500 + [(None, "a b", "s")] * 300 + [(i, "w " * (i % 9), "t") for i in range(200)] + [(None, None, None)] * 5
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    totals = set()
+    for options in ({}, {"rows_per_bucket": 1}, {"buckets": 1}):
+        got = mixing.mix(df, 0.7, **options).collect()
+        assert len(got) == len(rows)
+        by = {}
+        for r in got:
+            assert r["taken"] in (0, r["size"], 2 * r["size"])
+            s = by.setdefault((r["source_size"], r["target"]), [0, 0])
+            s[0] += r["taken"]
+            s[1] = max(s[1], r["size"])
+        assert all(abs(taken - target) <= largest for (_, target), (taken, largest) in by.items())
+        totals.add(tuple(sorted((k, v[0]) for k, v in by.items())))
+    assert len(totals) == 1
+
+
 # -- 8 license scan --------------------------------------------------------
 
 
