@@ -15,7 +15,7 @@ from .operators.base import Context
 from .plans import Budget, compile_plan, execute, load_plan, measure, score
 from .plans.gate import check_source, load_plan_file
 from .plans.trace import MODES, Tracer
-from .sources import Policy, dump_lines
+from .sources import Policy, lines
 
 
 def _plan(path: str):
@@ -62,7 +62,8 @@ def _run(a) -> int:
     tracer = Tracer(a.trace)
     result = execute(compiled, ctx, tracer=tracer)
     if not a.quiet:
-        print("\n".join(dump_lines(result, registry, a.dump_top)))
+        for line in lines(result, registry, a.dump_top):
+            print(line)
     tracer.release()
     return 0
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -52,21 +52,20 @@ def merge(ctx: Context, inputs: list[DataFrame], params: dict) -> DataFrame:
     how = params.get("dedup", "first")
     if how not in ("first", "max_base") and ctx.strict:
         raise NodeError(f"merge: unknown dedup strategy {how!r}")
-    by_id = Window.partitionBy(cid)
     rows = df.where(F.col(cid).isNotNull())
+    # aggregates of whole rows: they are combined before the shuffle, so a hot id is no large task
+    row = F.struct(*df.columns)
+    first = F.min_by(row, POSITION)
     if how == "max_base" and isinstance(types.get(base), T.FloatType):
         # An id's running best is replaced by a strictly larger score only, and comparisons with NaN
         # are false: a NaN wins if it comes first, and never otherwise.
         score = F.coalesce(F.col(base), f32(0.0))
-        earliest = F.min(POSITION).over(by_id)
-        tier = F.when(~F.isnan(score), 0).when(F.col(POSITION) == earliest, 1).otherwise(-1)
-        value = F.when(F.isnan(score), f32(0.0)).otherwise(score)
-        rows = rows.withColumn("_tier", tier).withColumn("_value", value)
-        order = [F.desc("_tier"), F.desc("_value"), F.asc(POSITION)]
+        best = F.max_by(row, F.when(~F.isnan(score), F.struct((score + f32(0.0)).alias("value"), (-F.col(POSITION)).alias("at"))))
+        merged = rows.groupBy(cid).agg(first.alias("_first"), best.alias("_best"))
+        merged = merged.select(F.when(F.isnan(F.col(f"_first.{base}")), F.col("_first")).otherwise(F.col("_best")).alias("_row"))
     else:
-        order = [F.asc(POSITION)]
-    ranked = rows.withColumn("_rank", F.row_number().over(by_id.orderBy(*order)))
-    return ranked.where("_rank = 1").select(df.columns)
+        merged = rows.groupBy(cid).agg(first.alias("_row"))
+    return merged.select(*(F.col(f"_row.{c}").alias(c, metadata=df.schema[c].metadata) for c in df.columns))
 
 
 def features(ctx: Context, inputs: list[DataFrame], params: dict) -> DataFrame:

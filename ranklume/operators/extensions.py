@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import parse, to_column
 from ..functions.compile import f32, less, signal
 from ..keys import POSITION, Key
+from ..sources.csv import IoError, check_resource, read_csv_frame
 from .base import Context, NodeError, NodeSpec, positioned, with_keys
 from .core import CANDIDATE_ID, SCORE_BASE, SCORE_FINAL, union_in_order
 
@@ -35,6 +36,21 @@ def table(ctx: Context, inputs: list[DataFrame], params: dict) -> DataFrame:
     return positioned(picked)
 
 
+def csv(ctx: Context, inputs: list[DataFrame], params: dict) -> DataFrame:
+    """Reads a CSV asset as candidates, if the context's policy allows the module name ``ext.csv`` to.
+
+    ``keys`` are SQL expressions over the file's columns, all of them strings;
+    positions are those of the rows.
+    """
+    if ctx.policy is None or not ctx.policy.allows_csv("ext.csv"):
+        raise IoError("csv: the policy doesn't allow ext.csv to read CSV")
+    path = f"{ctx.policy.assets_dir.rstrip('/')}/{check_resource(params.get('resource', ''))}"
+    keys = {ctx.registry.resolve(k): e for k, e in params.get("keys", {}).items()}
+    rows = read_csv_frame(ctx.spark, path)
+    picked = rows.select(F.monotonically_increasing_id().alias(POSITION), *(as_key(e, k).alias(k.column, metadata=k.metadata()) for k, e in keys.items()))
+    return positioned(picked)
+
+
 def union(ctx: Context, inputs: list[DataFrame], params: dict) -> DataFrame:
     """All rows of all inputs, in input order."""
     return union_in_order(inputs)
@@ -94,13 +110,18 @@ def normalize(ctx: Context, inputs: list[DataFrame], params: dict) -> DataFrame:
 
 
 def join_features(ctx: Context, inputs: list[DataFrame], params: dict) -> DataFrame:
-    """Attaches keys of a named table by candidate id; ids without a row get nulls."""
+    """Attaches keys of a named table by candidate id; ids without a row get nulls.
+
+    Of several rows of an id, that with the smallest values counts, compared in
+    the order of ``keys`` (nulls are smallest).
+    """
     df, name = inputs[0], params.get("table")
     if name not in ctx.tables:
         raise NodeError(f"join_features: unknown table {name!r}")
     cid = ctx.registry.resolve(CANDIDATE_ID).column
     keys = {ctx.registry.resolve(k): e for k, e in params.get("keys", {}).items()}
-    side = ctx.tables[name].select(F.expr(params["on"]).cast("long").alias(cid), *(as_key(e, k).alias(k.column) for k, e in keys.items())).where(F.col(cid).isNotNull()).dropDuplicates([cid])
+    side = ctx.tables[name].select(F.expr(params["on"]).cast("long").alias(cid), *(as_key(e, k).alias(k.column) for k, e in keys.items())).where(F.col(cid).isNotNull())
+    side = side.groupBy(cid).agg(F.min(F.struct(*(k.column for k in keys))).alias("x")).select(cid, "x.*") if keys else side.distinct()
     joined = df.drop(*(k.column for k in keys)).join(side, cid, "left")
     return with_keys(joined, {k: F.col(k.column) for k in keys})
 
@@ -119,6 +140,7 @@ def _spec(op, run, **more):
 
 SPECS = (
     _spec("table", table, params={"table": "string", "keys": "map", "position": "sql", "where": "sql"}, source=True),
+    _spec("csv", csv, params={"resource": "string", "keys": "map"}, source=True, capabilities={"io": {"csv_read": True}}),
     _spec("union", union, many_inputs=True),
     _spec("weighted_union", weighted_union, params={"weights": "float[]"}, reads=(CANDIDATE_ID, SCORE_BASE), writes=(SCORE_BASE,), many_inputs=True),
     _spec("filter", filter_rows, params={"expr": "expr", "above": "float"}),

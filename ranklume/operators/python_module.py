@@ -2,10 +2,12 @@
 
 A module has ``META`` (name, version, reads, writes, params, budget,
 capabilities, scope) and ``run_batch(batch, ctx, params)``.  ``scope`` tells what
-a batch is: ``row`` modules are given any part of the rows and run in parallel;
-``batch`` modules are given all rows at once, in one task, which their write
-budget bounds.  Only declared reads reach the module, only declared writes come
-back.  This is governance, not isolation: modules run as ordinary Python.
+a batch is: ``row`` modules are given any part of the rows and run in parallel,
+and only their reads travel to Python; ``batch`` modules are given all rows at
+once, in one task, which their write budget bounds.  Budgets are for all rows of a
+run: a module with scope ``row`` is charged for all of them by each of its parts.
+Only declared reads reach the module, only declared writes come
+back; reads that aren't declared raise.  This is governance, not isolation: modules run as ordinary Python.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ from .base import Context, NodeError, NodeSpec, with_keys
 
 # Default budgets.
 MAX_WRITE_BYTES, MAX_WRITE_CELLS, TIME_LIMIT_S = 1_048_576, 100_000, 60.0
+#: Rows up to which a bound is checked by a limit.
+SMALL_BOUND = 1_000_000
 KIND_BYTES = {"f32": 4, "i64": 8}
 
 
@@ -103,22 +107,26 @@ def make_module(meta: dict | None, run_batch, path: str = "", digest: str = "")
 class Batch:
     """What a module sees: reads as arrays, writes as arrays to fill."""
 
-    def __init__(self, rows: pd.DataFrame, meta: Meta, registry: KeyRegistry):
+    def __init__(self, rows: pd.DataFrame, meta: Meta, registry: KeyRegistry, charged_rows: int | None = None):
         self._rows, self._meta, self._registry = rows, meta, registry
+        self._charged = len(rows) if charged_rows is None else charged_rows
         self.written: dict[int, np.ndarray] = {}
         self._bytes = self._cells = 0
 
     def row_count(self) -> int:
         return len(self._rows)
 
-    def _read(self, key_id: int, kind: str, dtype) -> np.ndarray | None:
-        """A copy of the column, nulls as 0; None if there is no such column of that type."""
-        key = self._registry.by_id(key_id)
-        if key is None or key.type != kind or key.column not in self._rows:
-            return None
+    def _column(self, key_id: int, kind: str) -> pd.Series | None:
+        """A declared column; None if there is no such column of that type."""
         if key_id not in self._meta.reads:
             raise ModuleError(f"Read of key {_named(key_id, self._registry)} not allowed - not in meta.reads")
-        return self._rows[key.column].fillna(0).to_numpy(dtype).copy()
+        key = self._registry.by_id(key_id)
+        return None if key is None or key.type != kind or key.column not in self._rows else self._rows[key.column]
+
+    def _read(self, key_id: int, kind: str, dtype) -> np.ndarray | None:
+        """A copy of the column, nulls as 0."""
+        column = self._column(key_id, kind)
+        return None if column is None else column.fillna(0).to_numpy(dtype).copy()
 
     def f32(self, key_id: int) -> np.ndarray | None:
         return self._read(key_id, "f32", np.float32)
@@ -127,16 +135,16 @@ class Batch:
         return self._read(key_id, "i64", np.int64)
 
     def f32vec(self, key_id: int) -> np.ndarray | None:
-        key = self._registry.by_id(key_id)
-        if key is None or key.type != "f32vec" or key.column not in self._rows:
+        column = self._column(key_id, "f32vec")
+        if column is None:
             return None
-        rows = [v for v in self._rows[key.column]]
+        rows = list(column)
         width = next((len(v) for v in rows if v is not None), 0)
         return np.array([v if v is not None else [0.0] * width for v in rows], np.float32).reshape(len(rows), width)
 
     def _write(self, key_id: int, kind: str, shape, dtype, size: int) -> np.ndarray:
         check_write(key_id, kind, self._meta, self._registry)
-        n = len(self._rows)
+        n = self._charged
         charge(self._meta, self._bytes + n * size, self._cells + n)
         self._bytes, self._cells = self._bytes + n * size, self._cells + n
         self.written[key_id] = np.zeros(shape, dtype)
@@ -193,10 +201,10 @@ def time_limit(seconds: float):
         os_signal.signal(os_signal.SIGALRM, before)
 
 
-def run_on(module: Module, rows: pd.DataFrame, registry: KeyRegistry, policy: Policy | None, params: dict) -> Batch:
+def run_on(module: Module, rows: pd.DataFrame, registry: KeyRegistry, policy: Policy | None, params: dict, charged_rows: int | None = None) -> Batch:
     """Runs a module on rows and returns its batch with what was written."""
     meta = module.meta
-    batch = Batch(rows, meta, registry)
+    batch = Batch(rows, meta, registry, charged_rows)
     ctx = SimpleNamespace(keys=SimpleNamespace(**{k.constant: k.id for k in registry.keys}), key_info=SimpleNamespace(**{k.constant: {"id": k.id, "name": k.name, "type": k.type} for k in registry.keys}))
     if meta.csv_read and policy is not None and policy.allows_csv(meta.name, meta.version):
         budget = IoBudget(meta.max_io_read_bytes, meta.max_io_read_rows)
@@ -224,6 +232,33 @@ def apply_module(module: Module, ctx: Context, df: DataFrame, params: dict) -> D
     schema = T.StructType([df.schema[c] for c in kept] + [k.field() for k in outputs])
     policy = ctx.policy
 
+    # the budget bounds the rows: with more than that the module's first write would fail; without writes, a row counts as a cell
+    bound = min([meta.max_write_cells, *(meta.max_write_bytes // KIND_BYTES.get(k.type, 4) for k in outputs)])
+    # a small bound needs no look at all rows; a large one no exchange of as many
+    total = df.select(POSITION).limit(bound + 1).count() if bound <= SMALL_BOUND else df.count()
+    if total > bound:
+        charge(meta, total * min([KIND_BYTES.get(k.type, 4) for k in outputs], default=0), total)
+
+    if meta.scope == "row":
+        if not outputs:
+            return df
+        # only the reads go to Python; a key that isn't written keeps the column it has
+        written = T.StructType([x for k in outputs for x in (T.StructField(k.column, k.field().dataType), T.StructField(f"{k.column}_set", T.BooleanType()))])
+
+        @F.pandas_udf(written)
+        def part(rows: pd.DataFrame) -> pd.DataFrame:
+            batch = run_on(module, rows.drop(columns=POSITION), registry, policy, params, total)
+            out = {}
+            for k in outputs:
+                v = batch.written.get(k.id)
+                out[k.column] = pd.Series([None] * len(rows)) if v is None else pd.Series(list(v) if v.ndim > 1 else v)
+                out[f"{k.column}_set"] = v is not None
+            return pd.DataFrame(out, index=range(len(rows)))
+
+        made = df.withColumn("_written", part(F.struct(POSITION, *(k.column for k in reads))))
+        old = lambda k: F.col(k.column) if k.column in df.columns else F.lit(None)
+        return with_keys(made, {k: F.when(F.col(f"_written.{k.column}_set"), F.col(f"_written.{k.column}")).otherwise(old(k)).cast(k.field().dataType) for k in outputs}).drop("_written")
+
     def on(rows: pd.DataFrame) -> pd.DataFrame:
         seen = rows[[k.column for k in reads]] if reads else rows[[]]
         batch = run_on(module, seen, registry, policy, params)
@@ -231,17 +266,6 @@ def apply_module(module: Module, ctx: Context, df: DataFrame, params: dict) -> D
         new = {registry.by_id(i).column: pd.Series(list(v) if v.ndim > 1 else v, index=rows.index) for i, v in batch.written.items()}
         return rows[kept].assign(**(old | new))[[f.name for f in schema.fields]]
 
-    def parts(batches):
-        for rows in batches:
-            if len(rows):
-                yield on(rows)
-
-    if meta.scope == "row":
-        return df.mapInPandas(parts, schema)
-    # the write budget bounds the batch: with more rows than that the module's first write would fail
-    bound = min([meta.max_write_cells, *(meta.max_write_bytes // KIND_BYTES.get(k.type, 4) for k in outputs)]) if outputs else None
-    if bound is not None and df.select(POSITION).limit(bound + 1).count() > bound:
-        charge(meta, (bound + 1) * min(KIND_BYTES.get(k.type, 4) for k in outputs), bound + 1)
     ordered = lambda rows: on(rows.sort_values(POSITION, kind="stable").reset_index(drop=True)) if len(rows) else rows
     return df.groupBy().applyInPandas(ordered, schema)
 

@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import catalog
+from . import behaviour, catalog
 from .functions import E, to_column
 from .functions.compile import f32
 from .keys import POSITION, KeyRegistry
 from .operators.base import Context
 from .operators.python_module import apply_module, make_module
 from .plans import Pipeline, compile_plan, execute, measure, parse_plan, score
-from .sources import read_csv_frame
+from .plans.trace import Tracer
+from .sources import Policy, lines, read_csv_frame
+from .streaming import stream
 
 REGISTRY = KeyRegistry.default()
 PART_KEYS = {1001: "p_partkey", 3001: "cast(p_retailprice / 1000 as float)"}
@@ -268,8 +272,20 @@ def udf_minmax_normalize(spark, sf_dir):
 
 
 def shared_folder(spark):
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one in local tests."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="ranklume-csv-")).rstrip("/")
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where the master is this process."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext._jsc.sc().isLocal():
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return (named or "file://" + tempfile.mkdtemp(prefix="ranklume-shared-")).rstrip("/")
+
+
+SCALE = str(Path(__file__).parent / "modules" / "scale.py")
+
+
+@query(f"select id as cand_candidate_id, round((b * 2.5::float)::float::double, 4) as score_ml from ({PART_SQL}) where b > 0.95::float")
+def module_in_plan(spark, sf_dir):
+    """A user module from a file, as a node of a plan, under a filter."""
+    return shown(run(parts(Pipeline()).py.module(module=SCALE, by=2.5).ext.filter(expr=b, above=0.95), context(spark, sf_dir, "part")), ID, ML)
 
 
 CSV_TEXT = "id,name,score\n1,apple,0.9\n2, banana ,0.8\n\n3,cherry\n4,\"quo,ted,extra\n"
@@ -284,6 +300,45 @@ def csv_lookup(spark, sf_dir):
     return read_csv_frame(spark, path)
 
 
+@query("select * from (values (1::bigint, 0.9::double), (2, 0.8), (3, null), (4, null)) as t(cand_candidate_id, score_base)")
+def csv_node(spark, sf_dir):
+    """A CSV asset as the source of a plan, under a policy; lines without an id are dropped by the merge."""
+    folder = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    spark.createDataFrame([(CSV_TEXT.removesuffix("\n"),)], "value string").coalesce(1).write.text(f"{folder}/fruit.csv")
+    ctx = Context(spark, REGISTRY, policy=Policy(folder, ({"name": "ext.csv", "allow_io_csv_read": True},)))
+    step = Pipeline().ext.csv(resource="fruit.csv", keys={1001: "try_cast(id as long)", 3001: "try_cast(score as float)"}).core.merge()
+    return shown(run(step, ctx), ID, BASE)
+
+
+@query("select (range + 1)::bigint as place, '[' || range || '] candidate_id=' || (range + 1) || ', score.final=' || printf('%.4f', 1 - range / 4.0) as line from range(4)")
+def printed_rows(spark, sf_dir):
+    df = run(Pipeline().core.sourcer(k=4).core.score_formula(), Context(spark, REGISTRY))
+    return spark.createDataFrame([(i, line) for i, line in enumerate(lines(df, REGISTRY), 1)], "place long, line string")
+
+
+@query("select * from (values ('sourcer_1', 'core:sourcer', 20), ('features_2', 'core:features', 20), ('topk_3', 'ext:topk', 5)) as t(node, span, rows_out)")
+def traced_run(spark, sf_dir):
+    """The events that a traced run gives off."""
+    told: list[str] = []
+    tracer = Tracer("materialize", told.append)
+    execute(compile_plan(Pipeline().core.sourcer(k=20).core.features(keys=[2001]).ext.topk(k=5, score_key_id=3001).plan()), Context(spark, REGISTRY), tracer=tracer).count()
+    tracer.release()
+    ends = [e for e in map(json.loads, told) if e["event"] == "node_end"]
+    return spark.createDataFrame([(e["node_id"], e["span_name"], e["rows_out"]) for e in ends], "node string, span string, rows_out int")
+
+
+@query("select event_id as _pos, round((0.6::float * value::float + 0.4::float * ((user_id % 100)::float / 100::float))::float::double, 4) as score_ml from events")
+def stream_row_local(spark, sf_dir):
+    """A row-local plan over a stream of the events' files, as it lands in Parquet."""
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    read(spark, sf_dir, "events").repartition(3).write.parquet(f"{folder}/in")
+    source = spark.readStream.schema(spark.read.parquet(f"{folder}/in").schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    step = events(Pipeline()).core.features(keys=[2001]).core.model()
+    out = stream(compile_plan(step.plan()), Context(spark, REGISTRY, tables={"events": source})).select(F.col(POSITION).alias("_pos"), ML)
+    out.writeStream.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).format("parquet").start(f"{folder}/out").awaitTermination()
+    return shown(spark.read.parquet(f"{folder}/out"), "_pos", ML)
+
+
 # -- plans, catalog, keys -----------------------------------------------------------------
 
 COMPLEX_PLAN = {
@@ -321,4 +376,7 @@ def key_registry(spark, sf_dir):
     return REGISTRY.to_frame(spark).select("key_id", "name", "type", "scope")
 
 
+QUERIES |= behaviour.QUERIES
+SQL |= behaviour.SQL
+
 __all__ = ["QUERIES", "SQL", "f32", "to_column"]

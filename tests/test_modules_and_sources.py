@@ -97,6 +97,61 @@ def test_batch_size_is_bounded_by_the_write_budget(spark):
         apply_module(module(constant, budget={"max_write_bytes": 100}), Context(spark), df, {})
 
 
+def many(spark, n):
+    return spark.range(n).repartition(4).select(F.col("id").alias(POSITION), F.col("id").alias("cand_candidate_id"), F.lit(1.0).cast("float").alias("score_base"), F.lit("x").alias("other"))
+
+
+def test_budgets_of_row_modules_are_for_all_rows(spark):
+    def twice(batch, ctx, params):
+        batch.write_f32(3002), batch.write_f32(3003)
+
+    fine = module(constant, scope="row", budget={"max_write_cells": 20_000})
+    assert apply_module(fine, Context(spark), many(spark, 20_000), {}).where("score_ml = 42").count() == 20_000
+    with pytest.raises(ModuleError, match="max_write_cells"):
+        apply_module(module(constant, scope="row", budget={"max_write_cells": 15_000}), Context(spark), many(spark, 20_000), {})
+    with pytest.raises(Exception, match="max_write_cells"):  # the second write goes beyond, in whatever part it is
+        apply_module(module(twice, scope="row", writes=[3002, 3003], budget={"max_write_cells": 30_000}), Context(spark), many(spark, 20_000), {}).collect()
+
+
+def test_undeclared_reads_raise_in_runs(spark, batch3):
+    for key in (3003, 1001):
+        for scope in ("row", "batch"):
+            with pytest.raises(Exception, match="not in meta.reads"):
+                apply_module(module(lambda b, c, p, key=key: b.f32(key), scope=scope), Context(spark), batch3, {}).collect()
+
+
+def test_modules_without_writes_are_bounded(spark):
+    look = lambda b, c, p: None
+    with pytest.raises(ModuleError, match="max_write_cells"):
+        apply_module(module(look, writes=[], budget={"max_write_cells": 10}), Context(spark), many(spark, 100), {})
+    assert apply_module(module(look, writes=[], scope="row"), Context(spark), many(spark, 100), {}).count() == 100
+
+
+def test_only_reads_travel_to_row_modules(spark, tmp_path):
+    many(spark, 50).write.parquet(str(tmp_path / "t"))
+    out = apply_module(module(constant, scope="row"), Context(spark), spark.read.parquet(str(tmp_path / "t")), {}).where("cand_candidate_id < 5").select("score_ml")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "other" not in plan.split("ReadSchema")[1] and "LessThan(cand_candidate_id,5)" in plan and out.count() == 5
+
+
+def test_unwritten_keys_keep_their_values(spark, batch3):
+    df = batch3.withColumn("score_ml", F.lit(7.0).cast("float"))
+    some = lambda b, c, p: b.write_f32(3003)
+    for scope in ("row", "batch"):
+        out = apply_module(module(some, writes=[3002, 3003], scope=scope), Context(spark), df, {})
+        assert values(out, "score_ml") == [7.0] * 3 and values(out, "score_adjusted") == [0.0] * 3
+
+
+def test_csv_node(spark, assets):
+    step = lambda r: Pipeline().ext.csv(resource=r, keys={1001: "cast(id as long)", 3001: "cast(score as float)"})
+    run_ = lambda policy, r="sample.csv": execute(compile_plan(step(r).plan()), Context(spark, policy=policy))
+    allowed = Policy(assets, ({"name": "ext.csv", "allow_io_csv_read": True},))
+    assert [(r["cand_candidate_id"], round(r["score_base"], 1)) for r in run_(allowed).orderBy(POSITION).collect()] == [(1, 0.9), (2, 0.8), (3, 0.7)]
+    for policy, resource in ((None, "sample.csv"), (Policy(assets), "sample.csv"), (allowed, "../sample.csv")):
+        with pytest.raises(IoError):
+            run_(policy, resource)
+
+
 def test_module_time_limit(spark):
     def spin(b, c, p):
         while True:

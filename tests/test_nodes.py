@@ -154,3 +154,19 @@ def test_math_is_float(ctx):
 
     assert got == [float(np.float32(1) - np.float32(i) / np.float32(7)) for i in range(7)]
     assert not any(map(math.isnan, got)) and KeyRegistry.default().by_id(3001).type == "f32"
+
+
+def test_merge_combines_before_its_shuffle(spark):
+    df = spark.range(100).select(F.col("id").alias(POSITION), (F.col("id") % 3).alias("cand_candidate_id"), F.col("id").cast("float").alias("score_base"))
+    for how in ("first", "max_base"):
+        plan = core.merge(Context(spark), [df], {"dedup": how})._jdf.queryExecution().executedPlan().toString()
+        assert "Window" not in plan and plan.count("min_by") >= 2  # a partial and a final aggregate
+
+
+def test_join_features_takes_the_smallest_row(spark):
+    from ranklume.operators import extensions
+
+    df = spark.createDataFrame([(0, 1), (1, 2)], f"{POSITION} long, cand_candidate_id long")
+    side = spark.createDataFrame([(1, 0.5), (1, 0.25), (1, 0.75), (None, 9.0)], "id long, v float")
+    out = extensions.join_features(Context(spark, tables={"t": side}), [df], {"table": "t", "on": "id", "keys": {3001: "v"}})
+    assert sorted((r["cand_candidate_id"], r["score_base"]) for r in out.collect()) == [(1, 0.25), (2, None)]
