@@ -45,6 +45,8 @@ from .common import spread
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 MATCH, MISMATCH, GAP = 2, -1, -1
+#: Items times places of a document that are looked at together, which bounds memory.
+MOST_HITS = 1 << 22
 HIT = "array<struct<item_id: long, score: double, first_word: long, last_word: long>>"
 
 
@@ -98,6 +100,9 @@ class Index:
         pairs, self.times = np.unique(flat * count + np.repeat(np.arange(len(items)), self.sizes), return_counts=True)
         self.owner = pairs % count
         self.first = np.searchsorted(pairs // count, np.arange(len(self.vocabulary) + 1))
+        by_item = np.unique((pairs % count) * (len(self.vocabulary) + 1) + pairs // count)
+        self.item_words = by_item % (len(self.vocabulary) + 1)  # the different words of each item
+        self.item_first = np.searchsorted(by_item // (len(self.vocabulary) + 1), np.arange(count + 1))
         self.choose_seeds(np.diff(self.first))
 
     def needed(self, least: float) -> np.ndarray:
@@ -124,16 +129,33 @@ class Index:
         return np.repeat(first[words] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
 
     def candidates(self, ids: np.ndarray, needed: np.ndarray) -> np.ndarray:
-        """Items that share a seed with the document, and enough of their words."""
-        seen = np.unique(ids)
-        seen = seen[seen >= 0]
+        """Items that share a seed with the document, and enough of their words in a run that is good enough."""
+        at = np.flatnonzero(ids >= 0)
+        words = ids[at]
+        seen = np.unique(words)
         seeded = np.zeros(len(self.items), bool)
         seeded[self.seed_owner[self._postings(self.seed_first, seen)]] = True
         if not seeded.any():
             return np.zeros(0, np.int64)
         post = self._postings(self.first, seen)
         shared = np.bincount(self.owner[post], weights=self.times[post], minlength=len(self.items))
-        return np.flatnonzero(seeded & (MATCH * shared >= needed))
+        wanted = seeded & (MATCH * shared >= needed)
+        which = np.flatnonzero(wanted)
+        loss, inverse, good = -max(MISMATCH, GAP), np.searchsorted(seen, words), []
+        step = max(1, MOST_HITS // max(1, len(at)))
+        for i in range(0, len(which), step):
+            some = which[i : i + step]
+            own = np.zeros((len(some), len(seen)), bool)  # which words of the document are the item's
+            word = self.item_words[self._postings(self.item_first, some)]
+            row, column = np.repeat(np.arange(len(some)), self.item_first[some + 1] - self.item_first[some]), np.minimum(np.searchsorted(seen, word), len(seen) - 1)
+            there = seen[column] == word
+            own[row[there], column[there]] = True
+            # the best run: its words score a match each, the places between them a loss
+            hit = own[:, inverse].astype(np.int32) * (MATCH + loss)
+            upto = np.cumsum(hit, axis=1, dtype=np.int32) - (loss * at).astype(np.int32)
+            best = (upto - np.minimum.accumulate(upto - hit + loss, axis=1)).max(axis=1)
+            good.append(some[best >= needed[some]])
+        return np.concatenate(good) if good else which
 
     def align(self, text: str | None, least: float) -> list[tuple[int, float, int, int]]:
         """``(item id, score, first word, last word)`` of every item that scores ``least`` or more in the text."""
@@ -147,12 +169,13 @@ class Index:
             own[item] = True
             run = np.concatenate(([0], np.cumsum(np.where(own[ids], MATCH, max(MISMATCH, GAP)))))
             own[item] = False
-            ends = run[1:] - np.minimum.accumulate(run[:-1]) >= needed[k]
-            if not ends.any():
+            # words that a good enough run covers, in stretches: an alignment lies within one
+            good = np.maximum.accumulate(run[:0:-1])[::-1] - np.minimum.accumulate(run[:-1]) >= needed[k]
+            edges = np.flatnonzero(np.diff(np.concatenate(([0], good.view(np.int8), [0]))))
+            if not len(edges):
                 continue
-            starts = np.maximum.accumulate(run[:0:-1])[::-1] - run[:-1] >= needed[k]
-            lo, hi = int(starts.argmax()), len(ids) - int(ends[::-1].argmax())
-            got, a, b = smith_waterman(item, ids[lo:hi])
+            found = [(lo, smith_waterman(item, ids[lo:hi])) for lo, hi in zip(edges[::2].tolist(), edges[1::2].tolist())]
+            lo, (got, a, b) = max(found, key=lambda x: x[1][0])
             score = got / (MATCH * len(item))
             if got >= MATCH * self.n and score >= least:
                 out.append((self.ids[k], score, lo + a, lo + b))

@@ -408,8 +408,10 @@ def test_decontamination_matches_alignment_of_everything(share):
     assert found > 60
 
 
-@pytest.mark.parametrize("seed", range(4))
-def test_seeds_lose_no_alignment(seed):
+@pytest.mark.parametrize("seed", range(6))
+def test_seeds_lose_no_alignment(seed, monkeypatch):
+    if seed > 3:
+        monkeypatch.setattr(decontaminate, "MOST_HITS", 5)
     rng = random.Random(seed)
     vocabulary = [f"v{i}" for i in range(60)] + ["the", "of"] * 20
     items = [(k, " ".join(rng.choices(vocabulary, k=rng.randrange(1, 25)))) for k in range(15)]
