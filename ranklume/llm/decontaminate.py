@@ -86,6 +86,29 @@ def smith_waterman(item: np.ndarray, doc: np.ndarray) -> tuple[int, int, int]:
     return best
 
 
+def best_end(item: np.ndarray, doc: np.ndarray) -> tuple[int, int, int]:
+    """The score of :func:`smith_waterman`, and the first and the last place that an alignment with it ends at.
+
+    Scores are kept with their column's number of gaps added, so that a gap along
+    the row costs nothing.
+    """
+    column = (-GAP * np.arange(len(doc) + 1)).astype(np.int32)
+    row, here, up = column.copy(), np.empty(len(doc), np.int32), np.empty(len(doc), np.int32)
+    peak, gain = column[1:].copy(), {}
+    for w in item.tolist():
+        if w not in gain:
+            gain[w] = np.where(doc == w, MATCH - GAP, MISMATCH - GAP).astype(np.int32)
+        np.add(row[:-1], gain[w], out=here)
+        np.add(row[1:], GAP, out=up)
+        np.maximum(here, up, out=here)
+        np.maximum(here, column[1:], out=here)
+        np.maximum.accumulate(here, out=row[1:])
+        np.maximum(peak, row[1:], out=peak)
+    peak -= column[1:]
+    ends = np.flatnonzero(peak == peak.max())
+    return int(peak.max()), int(ends[0]), int(ends[-1])
+
+
 class Index:
     """Words of a block of items, and the items that each word occurs in."""
 
@@ -100,9 +123,6 @@ class Index:
         pairs, self.times = np.unique(flat * count + np.repeat(np.arange(len(items)), self.sizes), return_counts=True)
         self.owner = pairs % count
         self.first = np.searchsorted(pairs // count, np.arange(len(self.vocabulary) + 1))
-        by_item = np.unique((pairs % count) * (len(self.vocabulary) + 1) + pairs // count)
-        self.item_words = by_item % (len(self.vocabulary) + 1)  # the different words of each item
-        self.item_first = np.searchsorted(by_item // (len(self.vocabulary) + 1), np.arange(count + 1))
         self.choose_seeds(np.diff(self.first))
 
     def needed(self, least: float) -> np.ndarray:
@@ -138,22 +158,26 @@ class Index:
         if not seeded.any():
             return np.zeros(0, np.int64)
         post = self._postings(self.first, seen)
-        shared = np.bincount(self.owner[post], weights=self.times[post], minlength=len(self.items))
+        owner = self.owner[post]
+        shared = np.bincount(owner, weights=self.times[post], minlength=len(self.items))
         wanted = seeded & (MATCH * shared >= needed)
         which = np.flatnonzero(wanted)
         loss, inverse, good = -max(MISMATCH, GAP), np.searchsorted(seen, words), []
+        times, theirs = np.bincount(inverse), wanted[owner]
+        row = (np.cumsum(wanted) - 1)[owner[theirs]]
+        column = np.repeat(np.arange(len(seen)), self.first[seen + 1] - self.first[seen])[theirs]
         step = max(1, MOST_HITS // max(1, len(at)))
         for i in range(0, len(which), step):
             some = which[i : i + step]
             own = np.zeros((len(some), len(seen)), bool)  # which words of the document are the item's
-            word = self.item_words[self._postings(self.item_first, some)]
-            row, column = np.repeat(np.arange(len(some)), self.item_first[some + 1] - self.item_first[some]), np.minimum(np.searchsorted(seen, word), len(seen) - 1)
-            there = seen[column] == word
-            own[row[there], column[there]] = True
-            # the best run: its words score a match each, the places between them a loss
-            hit = own[:, inverse].astype(np.int32) * (MATCH + loss)
-            upto = np.cumsum(hit, axis=1, dtype=np.int32) - (loss * at).astype(np.int32)
-            best = (upto - np.minimum.accumulate(upto - hit + loss, axis=1)).max(axis=1)
+            here = (row >= i) & (row < i + step)
+            own[row[here] - i, column[here]] = True
+            hits = own @ times  # places of the item's words, at least one
+            item = np.repeat(np.arange(len(some)), hits)
+            place = np.flatnonzero(own.take(inverse, axis=1)) - item * len(at)
+            # the best run between two of an item's places: they score a match each, the words between them a loss
+            upto = (MATCH + loss) * np.arange(len(item)) - loss * at[place] - item * (1 << 40)  # items lie too far apart for a run over both
+            best = np.maximum.reduceat(upto - np.minimum.accumulate(upto), np.cumsum(hits) - hits) + MATCH
             good.append(some[best >= needed[some]])
         return np.concatenate(good) if good else which
 
@@ -163,21 +187,23 @@ class Index:
         needed = self.needed(least)
         assert least >= self.least, "the seeds are for better alignments"
         own = np.zeros(len(self.vocabulary) + 1, bool)  # the last one is for words of no item
-        out = []
+        loss, out = -max(MISMATCH, GAP), []
         for k in self.candidates(ids, needed):
             item = self.items[k]
             own[item] = True
-            run = np.concatenate(([0], np.cumsum(np.where(own[ids], MATCH, max(MISMATCH, GAP)))))
+            run = np.concatenate(([0], np.cumsum(np.where(own[ids], MATCH, -loss))))
             own[item] = False
             # words that a good enough run covers, in stretches: an alignment lies within one
             good = np.maximum.accumulate(run[:0:-1])[::-1] - np.minimum.accumulate(run[:-1]) >= needed[k]
             edges = np.flatnonzero(np.diff(np.concatenate(([0], good.view(np.int8), [0]))))
             if not len(edges):
                 continue
-            found = [(lo, smith_waterman(item, ids[lo:hi])) for lo, hi in zip(edges[::2].tolist(), edges[1::2].tolist())]
-            lo, (got, a, b) = max(found, key=lambda x: x[1][0])
+            got, first, last, lo = max(((*best_end(item, ids[lo:hi]), lo) for lo, hi in zip(edges[::2].tolist(), edges[1::2].tolist())), key=lambda x: x[0])
             score = got / (MATCH * len(item))
             if got >= MATCH * self.n and score >= least:
+                # what is aligned: a score above 0 allows no more words without a match than the matches are worth
+                lo, hi = max(lo, lo + first + 1 - (1 + -(-MATCH // loss)) * len(item)), lo + last + 1
+                _, a, b = smith_waterman(item, ids[lo:hi])
                 out.append((self.ids[k], score, lo + a, lo + b))
         return out
 

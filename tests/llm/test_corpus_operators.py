@@ -357,6 +357,20 @@ def test_smith_waterman_rows_match_the_table():
             assert brute.smith_waterman(a, b[first : last + 1]) == score
 
 
+def test_best_ends_bound_the_alignment():
+    rng = np.random.default_rng(2)
+    for _ in range(300):
+        a, b = rng.integers(0, 4, rng.integers(1, 9)), rng.integers(-1, 5, rng.integers(1, 80))
+        score, first, last = decontaminate.smith_waterman(a, b)
+        got, low, high = decontaminate.best_end(a, b)
+        assert got == score
+        if score:
+            assert low <= last <= high
+            lo = max(0, low + 1 - 3 * len(a))
+            got, f, e = decontaminate.smith_waterman(a, b[lo : high + 1])
+            assert (got, lo + f, lo + e) == (score, first, last)
+
+
 def test_decontamination_finds_edited_copies_only(spark):
     rng = random.Random(2)
     vocabulary = [f"v{i}" for i in range(300)] + ["the", "of"] * 60
