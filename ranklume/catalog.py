@@ -27,7 +27,8 @@ def module_entry(module: Module, raw: dict, registry: KeyRegistry) -> dict:
     namespace, stability = raw.get("namespace", f"py.{meta.name}"), raw.get("stability", "stable")
     if (stability == "experimental") != namespace.startswith("experimental."):
         raise ValueError(f"{module.path}: experimental modules, and only those, are in the namespace experimental.*")
-    return {"op": module.op, "namespace": namespace, "stability": stability, "doc": raw.get("doc", ""), "params": meta.params, "reads": _key_names(meta.reads, registry), "writes": {"kind": "static", "keys": _key_names(meta.writes, registry)}, "budget": {"max_write_bytes": meta.max_write_bytes, "max_write_cells": meta.max_write_cells, "max_io_read_bytes": meta.max_io_read_bytes, "max_io_read_rows": meta.max_io_read_rows}, "capabilities": {"io": {"csv_read": meta.csv_read}}}
+    per_row = {x: getattr(meta, x) for x in ("max_write_bytes_per_row", "max_write_cells_per_row") if getattr(meta, x) is not None}
+    return {"op": module.op, "namespace": namespace, "stability": stability, "doc": raw.get("doc", ""), "params": meta.params, "reads": _key_names(meta.reads, registry), "writes": {"kind": "static", "keys": _key_names(meta.writes, registry)}, "budget": {"max_write_bytes": meta.max_write_bytes, "max_write_cells": meta.max_write_cells, "max_io_read_bytes": meta.max_io_read_bytes, "max_io_read_rows": meta.max_io_read_rows} | per_row, "capabilities": {"io": {"csv_read": meta.csv_read}}}
 
 
 def scan_modules(folder: str | Path, registry: KeyRegistry) -> tuple[list[dict], list[str]]:

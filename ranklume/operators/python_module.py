@@ -6,6 +6,9 @@ a batch is: ``row`` modules are given any part of the rows and run in parallel,
 and only their reads travel to Python; ``batch`` modules are given all rows at
 once, in one task, which their write budget bounds.  Budgets are for all rows of a
 run: a module with scope ``row`` is charged for all of them by each of its parts.
+It may declare budgets a row instead (``max_write_bytes_per_row``,
+``max_write_cells_per_row``), which hold for any number of rows, and ``totals``:
+extremes of its reads over all rows, by name, that it finds in ``ctx.totals``.
 Only declared reads reach the module, only declared writes come
 back; reads that aren't declared raise.  This is governance, not isolation: modules run as ordinary Python.
 """
@@ -37,6 +40,8 @@ MAX_WRITE_BYTES, MAX_WRITE_CELLS, TIME_LIMIT_S = 1_048_576, 100_000, 60.0
 #: Rows up to which a bound is checked by a limit.
 SMALL_BOUND = 1_000_000
 KIND_BYTES = {"f32": 4, "i64": 8}
+#: What ``totals`` may ask for.
+TOTALS = {"min": F.min, "max": F.max}
 
 
 class ModuleError(NodeError):
@@ -50,26 +55,39 @@ class Meta:
     reads: tuple[int, ...] = ()
     writes: tuple[int, ...] = ()
     params: dict = field(default_factory=dict)
-    max_write_bytes: int = MAX_WRITE_BYTES
-    max_write_cells: int = MAX_WRITE_CELLS
+    max_write_bytes: int | None = MAX_WRITE_BYTES  # None: only the budget a row holds
+    max_write_cells: int | None = MAX_WRITE_CELLS
     max_io_read_bytes: int = 0
     max_io_read_rows: int = 0
     csv_read: bool = False
     scope: str = "batch"
     vector_dims: dict[int, int] = field(default_factory=dict)
     time_limit_s: float = TIME_LIMIT_S
+    max_write_bytes_per_row: int | None = None
+    max_write_cells_per_row: int | None = None
+    totals: dict[str, tuple[str, int]] = field(default_factory=dict)
 
     @classmethod
     def of(cls, raw: dict) -> Meta:
         budget = raw.get("budget", {})
         io = raw.get("capabilities", {}).get("io", {}) if isinstance(raw.get("capabilities", {}), dict) else {}
+        per_row = {x: budget[x] for x in ("max_write_bytes_per_row", "max_write_cells_per_row") if x in budget}
+        of_run = lambda name, default: budget.get(name, None if f"{name}_per_row" in per_row else default)
         meta = cls(
             raw.get("name", ""), raw.get("version", ""), tuple(map(int, raw.get("reads", ()))), tuple(map(int, raw.get("writes", ()))), raw.get("params", {}),
-            budget.get("max_write_bytes", MAX_WRITE_BYTES), budget.get("max_write_cells", MAX_WRITE_CELLS), budget.get("max_io_read_bytes", 0), budget.get("max_io_read_rows", 0),
+            of_run("max_write_bytes", MAX_WRITE_BYTES), of_run("max_write_cells", MAX_WRITE_CELLS), budget.get("max_io_read_bytes", 0), budget.get("max_io_read_rows", 0),
             bool(isinstance(io, dict) and io.get("csv_read") is True), raw.get("scope", "batch"), dict(raw.get("vector_dims", {})), raw.get("time_limit_s", TIME_LIMIT_S),
+            **per_row, totals={name: (how, int(key_id)) for name, (how, key_id) in raw.get("totals", {}).items()},
         )
         if meta.scope not in ("row", "batch"):
             raise ModuleError(f"scope must be 'row' or 'batch', not {meta.scope!r}")
+        if meta.scope == "batch" and (per_row or meta.totals):
+            raise ModuleError("budgets a row and totals are for scope 'row'")
+        for name, (how, key_id) in meta.totals.items():
+            if how not in TOTALS:
+                raise ModuleError(f"total {name}: unknown function {how!r}")
+            if key_id not in meta.reads:
+                raise ModuleError(f"total {name}: read of key {key_id} not allowed - not in meta.reads")
         return meta
 
 
@@ -145,7 +163,7 @@ class Batch:
     def _write(self, key_id: int, kind: str, shape, dtype, size: int) -> np.ndarray:
         check_write(key_id, kind, self._meta, self._registry)
         n = self._charged
-        charge(self._meta, self._bytes + n * size, self._cells + n)
+        charge(self._meta, self._bytes + n * size, self._cells + n, n)
         self._bytes, self._cells = self._bytes + n * size, self._cells + n
         self.written[key_id] = np.zeros(shape, dtype)
         return self.written[key_id]
@@ -175,11 +193,13 @@ def check_write(key_id: int, kind: str, meta: Meta, registry: KeyRegistry) -> No
         raise ModuleError(f"Type mismatch for key {_named(key_id, registry)}: expected {kind}, got {key.type}")
 
 
-def charge(meta: Meta, total_bytes: int, total_cells: int) -> None:
-    if total_bytes > meta.max_write_bytes:
-        raise ModuleError(f"Budget exceeded: max_write_bytes ({meta.max_write_bytes})")
-    if total_cells > meta.max_write_cells:
-        raise ModuleError(f"Budget exceeded: max_write_cells ({meta.max_write_cells})")
+def charge(meta: Meta, total_bytes: int, total_cells: int, rows: int) -> None:
+    for name, total in (("max_write_bytes", total_bytes), ("max_write_cells", total_cells)):
+        most, a_row = getattr(meta, name), getattr(meta, f"{name}_per_row")
+        if most is not None and total > most:
+            raise ModuleError(f"Budget exceeded: {name} ({most})")
+        if a_row is not None and total > a_row * rows:
+            raise ModuleError(f"Budget exceeded: {name}_per_row ({a_row})")
 
 
 @contextlib.contextmanager
@@ -201,11 +221,11 @@ def time_limit(seconds: float):
         os_signal.signal(os_signal.SIGALRM, before)
 
 
-def run_on(module: Module, rows: pd.DataFrame, registry: KeyRegistry, policy: Policy | None, params: dict, charged_rows: int | None = None) -> Batch:
+def run_on(module: Module, rows: pd.DataFrame, registry: KeyRegistry, policy: Policy | None, params: dict, charged_rows: int | None = None, totals: dict | None = None) -> Batch:
     """Runs a module on rows and returns its batch with what was written."""
     meta = module.meta
     batch = Batch(rows, meta, registry, charged_rows)
-    ctx = SimpleNamespace(keys=SimpleNamespace(**{k.constant: k.id for k in registry.keys}), key_info=SimpleNamespace(**{k.constant: {"id": k.id, "name": k.name, "type": k.type} for k in registry.keys}))
+    ctx = SimpleNamespace(keys=SimpleNamespace(**{k.constant: k.id for k in registry.keys}), key_info=SimpleNamespace(**{k.constant: {"id": k.id, "name": k.name, "type": k.type} for k in registry.keys}), totals=SimpleNamespace(**(totals or {})))
     if meta.csv_read and policy is not None and policy.allows_csv(meta.name, meta.version):
         budget = IoBudget(meta.max_io_read_bytes, meta.max_io_read_rows)
         ctx.io = SimpleNamespace(read_csv=lambda resource: read_csv(policy.assets_dir, resource, budget))
@@ -214,6 +234,22 @@ def run_on(module: Module, rows: pd.DataFrame, registry: KeyRegistry, policy: Po
     return batch
 
 
+def totals_of(meta: Meta, registry: KeyRegistry, df: DataFrame) -> dict:
+    """The totals that a module declares, over all rows: nulls and NaN count as 0, as in reads.  Without rows, or without such a column, None."""
+    columns = {}
+    for name, (how, key_id) in meta.totals.items():
+        key = registry.by_id(key_id)
+        if key is None or key.type not in KIND_BYTES:
+            raise ModuleError(f"total {name}: key {_named(key_id, registry)} isn't a f32 or i64")
+        if key.column in df.columns:
+            zero = F.lit(0).cast(key.field().dataType)
+            value = F.coalesce(key.column, zero)
+            columns[name] = TOTALS[how](F.when(F.isnan(value), zero).otherwise(value) if key.type == "f32" else value).alias(name)
+    found = df.agg(*columns.values()).first().asDict() if columns else {}  # one row
+    dtypes = {name: np.float32 if registry.by_id(key_id).type == "f32" else np.int64 for name, (_, key_id) in meta.totals.items()}
+    return {name: None if found.get(name) is None else dtype(found[name]) for name, dtype in dtypes.items()}
+
+
 def apply_module(module: Module, ctx: Context, df: DataFrame, params: dict) -> DataFrame:
     """Adds the columns that the module writes.  Rows, order and other columns stay."""
     ship(ctx.spark)
@@ -232,22 +268,27 @@ def apply_module(module: Module, ctx: Context, df: DataFrame, params: dict) -> D
     schema = T.StructType([df.schema[c] for c in kept] + [k.field() for k in outputs])
     policy = ctx.policy
 
-    # the budget bounds the rows: with more than that the module's first write would fail; without writes, a row counts as a cell
-    bound = min([meta.max_write_cells, *(meta.max_write_bytes // KIND_BYTES.get(k.type, 4) for k in outputs)])
-    # a small bound needs no look at all rows; a large one no exchange of as many
-    total = df.select(POSITION).limit(bound + 1).count() if bound <= SMALL_BOUND else df.count()
-    if total > bound:
-        charge(meta, total * min([KIND_BYTES.get(k.type, 4) for k in outputs], default=0), total)
+    # the run's budget bounds the rows: with more than that the module's first write would fail; without writes, a row counts as a cell
+    bounds = [] if meta.max_write_cells is None else [meta.max_write_cells]
+    bounds += [] if meta.max_write_bytes is None else [meta.max_write_bytes // KIND_BYTES.get(k.type, 4) for k in outputs]
+    total = None  # budgets a row need no count
+    if bounds:
+        bound = min(bounds)
+        # a small bound needs no look at all rows; a large one no exchange of as many
+        total = df.select(POSITION).limit(bound + 1).count() if bound <= SMALL_BOUND else df.count()
+        if total > bound:
+            charge(meta, total * min([KIND_BYTES.get(k.type, 4) for k in outputs], default=0), total, total)
 
     if meta.scope == "row":
         if not outputs:
             return df
         # only the reads go to Python; a key that isn't written keeps the column it has
+        totals = totals_of(meta, registry, df)
         written = T.StructType([x for k in outputs for x in (T.StructField(k.column, k.field().dataType), T.StructField(f"{k.column}_set", T.BooleanType()))])
 
         @F.pandas_udf(written)
         def part(rows: pd.DataFrame) -> pd.DataFrame:
-            batch = run_on(module, rows.drop(columns=POSITION), registry, policy, params, total)
+            batch = run_on(module, rows.drop(columns=POSITION), registry, policy, params, total, totals)
             out = {}
             for k in outputs:
                 v = batch.written.get(k.id)

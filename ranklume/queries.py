@@ -253,8 +253,12 @@ def scale(batch, ctx, params):
 
 
 def spread(batch, ctx, params):
-    x = batch.f32(3001)
-    batch.write_f32(3003)[:] = (x - x.min()) / (x.max() - x.min()) if batch.row_count() and x.max() > x.min() else 0.5
+    x, low, high = batch.f32(3001), ctx.totals.low, ctx.totals.high
+    batch.write_f32(3003)[:] = (x - low) / (high - low) if high > low else 0.5
+
+
+#: The budget of a module that writes one float a row, for tables of any size.
+ONE_FLOAT = {"max_write_bytes_per_row": 4, "max_write_cells_per_row": 1}
 
 
 @query(f"select id as cand_candidate_id, round((b * 2.5::float)::float::double, 4) as score_ml from ({PART_SQL})")
@@ -266,7 +270,8 @@ def udf_scale(spark, sf_dir):
 
 @query(NORMALIZE_SQL)
 def udf_minmax_normalize(spark, sf_dir):
-    module = make_module({"name": "spread", "reads": [3001], "writes": [3003], "scope": "batch"}, spread)
+    totals = {"low": ("min", 3001), "high": ("max", 3001)}
+    module = make_module({"name": "spread", "reads": [3001], "writes": [3003], "scope": "row", "budget": ONE_FLOAT, "totals": totals}, spread)
     ctx = context(spark, sf_dir, "part")
     return shown(apply_module(module, ctx, run(parts(Pipeline()), ctx), {}), ID, "score_adjusted")
 

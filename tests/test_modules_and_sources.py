@@ -113,6 +113,43 @@ def test_budgets_of_row_modules_are_for_all_rows(spark):
         apply_module(module(twice, scope="row", writes=[3002, 3003], budget={"max_write_cells": 30_000}), Context(spark), many(spark, 20_000), {}).collect()
 
 
+ONE_FLOAT = {"max_write_bytes_per_row": 4, "max_write_cells_per_row": 1}
+
+
+def test_budgets_a_row_hold_for_any_number_of_rows(spark):
+    def twice(batch, ctx, params):
+        batch.write_f32(3002), batch.write_f32(3003)
+
+    assert apply_module(module(constant, scope="row", budget=ONE_FLOAT), Context(spark), many(spark, 100_001), {}).where("score_ml = 42").count() == 100_001
+    for budget, message in ((ONE_FLOAT | {"max_write_cells_per_row": 2}, "max_write_bytes_per_row"), (ONE_FLOAT | {"max_write_bytes_per_row": 8}, "max_write_cells_per_row"), (ONE_FLOAT | {"max_write_cells": 10}, "max_write_cells")):
+        with pytest.raises(Exception, match=message):
+            apply_module(module(twice, scope="row", writes=[3002, 3003], budget=budget), Context(spark), many(spark, 20), {}).collect()
+    for more in ({"budget": ONE_FLOAT}, {"totals": {"low": ("min", 3001)}}):
+        with pytest.raises(ModuleError, match="scope 'row'"):  # all rows in one task stay bounded
+            module(constant, **more)
+
+
+def test_totals_are_over_all_rows(spark):
+    def ends(batch, ctx, params):
+        t = ctx.totals
+        assert t.absent is None and t.low.dtype == np.float32
+        batch.write_f32(3002)[:] = t.low
+        batch.write_f32(3003)[:] = t.high
+        batch.write_i64(1001)[:] = t.last
+
+    totals = {"low": ("min", 3001), "high": ("max", 3001), "last": ("max", 1001), "absent": ("min", 4001)}
+    m = module(ends, scope="row", reads=[3001, 1001, 4001], writes=[3002, 3003, 1001], totals=totals)
+    df = spark.createDataFrame([(i, 2**60 + i, {7: None, 8: float("nan")}.get(i, i / 10 + 0.1)) for i in range(40)], SCHEMA).repartition(8)
+    out = apply_module(m, Context(spark), df, {})
+    assert {tuple(r) for r in out.select("score_ml", "score_adjusted", "cand_candidate_id").collect()} == {(0.0, 4.0, 2**60 + 39)}  # null and NaN read as 0
+    assert apply_module(m, Context(spark), df.where("false"), {}).count() == 0
+    for bad, message in ((("median", 3001), "unknown function"), (("min", 3003), "not in meta.reads")):
+        with pytest.raises(ModuleError, match=message):
+            module(ends, scope="row", totals={"low": bad})
+    with pytest.raises(ModuleError, match="isn't a f32 or i64"):
+        apply_module(module(constant, scope="row", reads=[2002], totals={"low": ("min", 2002)}), Context(spark), df, {})
+
+
 def test_undeclared_reads_raise_in_runs(spark, batch3):
     for key in (3003, 1001):
         for scope in ("row", "batch"):

@@ -34,6 +34,15 @@ def test_query_matches_its_sql(spark, sf_dir, con, name):
     assert plain([r.asDict() for r in df.collect()], columns) == plain([dict(zip(names, r)) for r in cursor.fetchall()], columns)
 
 
+@pytest.mark.parametrize("name", ["udf_minmax_normalize"])
+def test_user_modules_take_tables_beyond_the_default_budget(spark, tmp_path, name):
+    spark.range(100_001).selectExpr("id as p_partkey", "900 + id % 1000 / 10 as p_retailprice").write.parquet(f"{tmp_path}/part.parquet")
+    df = QUERIES[name](spark, str(tmp_path))
+    c = duckdb.connect()
+    c.execute(f"create view part as from '{tmp_path}/part.parquet/*.parquet'")
+    assert sorted(map(tuple, df.collect())) == sorted(c.execute(SQL[name]).fetchall())
+
+
 def test_csv_lookup_reads_a_file_on_a_cluster_too(spark, sf_dir, monkeypatch):
     import ranklume.queries as q
 
