@@ -263,7 +263,7 @@ ONE_FLOAT = {"max_write_bytes_per_row": 4, "max_write_cells_per_row": 1}
 
 @query(f"select id as cand_candidate_id, round((b * 2.5::float)::float::double, 4) as score_ml from ({PART_SQL})")
 def udf_scale(spark, sf_dir):
-    module = make_module({"name": "scale", "reads": [3001], "writes": [3002], "scope": "row"}, scale)
+    module = make_module({"name": "scale", "reads": [3001], "writes": [3002], "scope": "row", "budget": ONE_FLOAT}, scale)
     ctx = context(spark, sf_dir, "part")
     return shown(apply_module(module, ctx, run(parts(Pipeline()), ctx), {"by": 2.5}), ID, ML)
 

@@ -34,7 +34,7 @@ def test_query_matches_its_sql(spark, sf_dir, con, name):
     assert plain([r.asDict() for r in df.collect()], columns) == plain([dict(zip(names, r)) for r in cursor.fetchall()], columns)
 
 
-@pytest.mark.parametrize("name", ["udf_minmax_normalize"])
+@pytest.mark.parametrize("name", ["udf_minmax_normalize", "udf_scale"])
 def test_user_modules_take_tables_beyond_the_default_budget(spark, tmp_path, name):
     spark.range(100_001).selectExpr("id as p_partkey", "900 + id % 1000 / 10 as p_retailprice").write.parquet(f"{tmp_path}/part.parquet")
     df = QUERIES[name](spark, str(tmp_path))
